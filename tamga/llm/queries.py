@@ -26,6 +26,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(listed).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by a context tree over bytes and by a word unigram."""
+    from tamga.llm.ctw import score_texts
+
+    return score_texts(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near-duplicates that each document is in."""
+    from tamga.llm.ngram_join import near_components
+
+    return near_components(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without what repeats over 400 bytes."""
+    from tamga.llm.repeats import remove_repeats
+
+    got = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every text."""
     from tamga.llm.secrets import BASE, scan_secrets
@@ -69,7 +91,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op6_secret_scan, op7_decontamination, op8_chat_format, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_context_tree, op3_ngram_join, op6_secret_scan, op7_decontamination, op8_chat_format, op9_repeated_spans, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
