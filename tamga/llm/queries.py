@@ -48,6 +48,37 @@ def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint beside that of its edited text and of the next document."""
+    from tamga.llm.imatch import edited_fingerprints
+
+    got = edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_chars", _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by its text, its declared language and its source."""
+    from tamga.llm.langid import fit_text_model, identify
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return identify(docs, fit_text_model(docs, "lang", "text"), "text", declared="lang", host="source", keep=["doc_id", "lang"])
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's language, by its text, its markup, its address suffix and its host."""
+    from tamga.llm.langid import fit_text_model, identify_pages
+
+    model = fit_text_model(_read(spark, sf_dir, "documents").select("lang", "text"), "lang", "text")
+    return identify_pages(_read(spark, sf_dir, "pages"), model, keep=["page_id"])
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every text."""
     from tamga.llm.secrets import BASE, scan_secrets
@@ -91,7 +122,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_context_tree, op3_ngram_join, op6_secret_scan, op7_decontamination, op8_chat_format, op9_repeated_spans, op10_url_filter)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_context_tree, op3_ngram_join, op4_fingerprint, op5_language_id, op6_secret_scan, op7_decontamination, op8_chat_format, op9_repeated_spans, op10_url_filter, page_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
