@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -56,9 +57,10 @@ class ByteBpe:
             merges += [(self._chars(a), self._chars(b)) for a, b in cuts]
             firsts = {a: b for a, b in cuts}
             triples.update(x + y + firsts[y] for x, y in cuts if y in firsts and x != y)
-        # A triple that holds another adds nothing.
-        short = {t for t in triples if not any(t[i:j] in triples for i in range(len(t)) for j in range(i + 1, len(t) + 1) if j - i < len(t))}
-        self.tied = regex.compile(b"|".join(map(regex.escape, sorted(short)))).search if short else lambda _: None
+        self.tied = ahocorasick.Automaton()
+        for t in triples:
+            self.tied.add_word(self._chars(t), True)
+        self.tied.make_automaton()
         vocab = {self._chars(t): r for t, r in self.ranks.items()}
         self.model = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
         size = max(self.ranks.values()) + 1
@@ -94,16 +96,17 @@ class ByteBpe:
                 rest.append(p)
             else:
                 self.known[p] = (rank,)
+        triples = len(self.tied)
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
-            data = [p.encode() for p in part]
-            got = self.model.encode(list(map(self._chars, data)), is_pretokenized=True, add_special_tokens=False)
+            data = [self._chars(p.encode()) for p in part]
+            got = self.model.encode(data, is_pretokenized=True, add_special_tokens=False)
             words = np.array(got.word_ids, np.int64)
             ids = got.ids
             ends = np.searchsorted(words, np.arange(len(part)), "right").tolist()
             start = 0
-            for p, d, end in zip(part, data, ends, strict=True):
-                self.known[p] = self._merge(d) if self.tied(d) else tuple(ids[start:end])
+            for p, chars, end in zip(part, data, ends, strict=True):
+                self.known[p] = self._merge(p.encode()) if triples and next(self.tied.iter(chars), None) else tuple(ids[start:end])
                 start = end
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
