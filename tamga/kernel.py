@@ -44,6 +44,14 @@ def check_word(word: str) -> None:
         )
 
 
+_PLACES = {(True, True): "medi", (False, True): "init", (True, False): "fina", (False, False): "isol"}
+
+
+@lru_cache(512)  # the characters of words are few
+def _kind_of(c: str) -> str:
+    return "L" if _IS_LETTER.match(c) else "M" if c == MVS else "Z" if c == ZWNJ else "J"
+
+
 class Word:
     """Tokens of a word and their surroundings. Places that don't exist are None."""
 
@@ -54,14 +62,15 @@ class Word:
         self.char = [MVS if c == NNBSP else c for c, _ in pairs]
         self.fvs = [[FVS_NUMBER[f] for f in run] for _, run in pairs]
         #: L letter, M MVS, J nirugu or ZWJ, Z ZWNJ
-        self.kind = kind = "".join("L" if _IS_LETTER.match(c) else "M" if c == MVS else "Z" if c == ZWNJ else "J" for c in self.char)
-        alias = catalogue().alias
-        self.alias = [alias.get(c) for c in self.char]
-        joins = [k in "LJ" for k in kind]
-        places = {(True, True): "medi", (False, True): "init", (True, False): "fina", (False, False): "isol"}
-        self.position = [places[i > 0 and joins[i - 1], i + 1 < n and joins[i + 1]] if kind[i] == "L" else "isol" for i in range(n)]
+        self.kind = kind = "".join(map(_kind_of, self.char))
+        self.alias = list(map(catalogue().alias.get, self.char))
+        joins = [False, *(k in "LJ" for k in kind), False]
+        self.position = [_PLACES[a, b] if k == "L" else "isol" for a, b, k in zip(joins, joins[2:], kind, strict=False)]
         # runs of joiners and breaks beside each token: where they begin and end
         self.left, self.right = [0] * n, [n] * n
+        if "J" not in kind and "Z" not in kind:
+            self.left, self.right = list(range(n)), list(range(1, n + 1))
+            return
         for i in range(1, n):
             self.left[i] = self.left[i - 1] if kind[i - 1] in "JZ" else i
         for i in range(n - 2, -1, -1):
@@ -324,9 +333,14 @@ def _particle_chains(w: Word) -> Iterator[list[int]]:
         yield chain
 
 
-def _particles(w: Word, cond: list) -> dict[int, str]:
+_BARE_PARTICLES = [[k[0]] for k in catalogue().particles if k[0] != "mvs"]
+
+
+def _particles(w: Word) -> dict[int, str]:
     found: dict[int, str] = {}
     known = catalogue().particles
+    if "M" not in w.kind and w.alias[:1] not in _BARE_PARTICLES and "Z" not in w.kind:
+        return found  # only chains that start so can be particles without an MVS
     for chain in _particle_chains(w):
         names = tuple("mvs" if w.kind[i] == "M" else w.alias[i] or "?" for i in chain)
         if names not in known and names[0] == "mvs":
@@ -382,15 +396,17 @@ def _post_bowed(w: Word, i: int, cond: list) -> str | None:
 def run_rules(w: Word) -> Iterator[tuple[str, list]]:
     """(rule, conditions after it) for each rule in order."""
     cond: list[str | None] = [None] * w.n
+    present = set(w.alias)
     for name in RULES:
         if name == "III.3.particle":
-            for i, c in _particles(w, cond).items():
+            for i, c in _particles(w).items():
                 cond[i] = c
         else:
             letters, keeps, rule = _RULES[name]
-            for i, a in enumerate(w.alias):
-                if a in letters and w.kind[i] == "L" and not (keeps and cond[i]) and (new := rule(w, i, cond)) is not None:
-                    cond[i] = new or None
+            if not letters.isdisjoint(present):
+                for i, a in enumerate(w.alias):
+                    if a in letters and not (keeps and cond[i]) and (new := rule(w, i, cond)) is not None:
+                        cond[i] = new or None
         yield name, cond
 
 
@@ -429,8 +445,13 @@ def _chains(units: tuple[str, ...]) -> Iterator[tuple[tuple[str, ...], int, int]
             start = end
 
 
+_DOUBLE = frozenset(("Dd", "Cr", "H", "Hx"))
+
+
 def expand(units: tuple[str, ...]) -> tuple[str, ...]:
     """Units that look like two others are written as these."""
+    if _DOUBLE.isdisjoint(units):
+        return units
     out: list[str] = []
     for chain, before, after in _chains(units):
         for i, u in enumerate(chain):
@@ -441,6 +462,8 @@ def expand(units: tuple[str, ...]) -> tuple[str, ...]:
 
 def contract(units: tuple[str, ...]) -> tuple[str, ...]:
     """A chain's last two units become one if they look like it."""
+    if "Aa" not in units:
+        return units
     out: list[str] = []
     for chain, before, after in _chains(units):
         if len(chain) > 1 and chain[-1] == "Aa" and before >= 0:
@@ -496,8 +519,13 @@ def _sweep(units: list[str], control: str, idle: Callable) -> None:
             i += 1
 
 
+_CONTROLS = frozenset(("Zwj", "Zwnj", "Mvs"))
+
+
 def control_rounds(units: tuple[str, ...]) -> tuple[str, ...]:
     """Without controls that change nothing: repeated ones, then joiners, then breaks, until none goes."""
+    if _CONTROLS.isdisjoint(units):
+        return units
     out = list(units)
     while True:
         before = len(out)
