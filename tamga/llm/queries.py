@@ -126,4 +126,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tamga.llm import sql
+
+    return sql.oracle()
