@@ -121,5 +121,14 @@ def rule_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(tables.RULES, 1)), "place int, rule string")
 
 
+def random_words(spark: SparkSession, n: int, longest: int, seed: int = 0) -> DataFrame:
+    """id, word: words of 0 to longest characters over all letters and controls; the same for the same seed."""
+    alphabet = [*tables.catalogue().alias, *tables.FVS.values(), tables.MVS, tables.NNBSP, tables.NIRUGU, tables.ZWJ, tables.ZWNJ]
+    pick = lambda k: F.element_at(F.array(*map(F.lit, alphabet)), (F.pmod(F.xxhash64("id", k, F.lit(seed)), F.lit(len(alphabet))) + 1).cast("int"))
+    length = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(longest + 1)).cast("int")
+    places = F.slice(F.array(*map(F.lit, range(longest))), F.lit(1), length)
+    return spark.range(n).select("id", F.array_join(F.transform(places, pick), "").alias("word"))
+
+
 def literal_units(text: Column) -> Column:
     return F.split(text, r"\+")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamga import functions as fn
 from tamga import operators as op
 from tamga import sources, streaming, tables
+from tamga.operators import battery
 from tamga.plans import sql
 
 
@@ -268,6 +269,17 @@ def reverse_table(spark, d):
     return got.select("position", "form", "alias", "spelling", (F.col("u") == F.col("w")).alias("verified"))
 
 
+def battery_table(spark, d):
+    """The reverse table, derived from the rules."""
+    return battery.battery(spark)
+
+
+def random_round_trip(spark, d):
+    """Seeded random words over all letters and controls keep their shape when normalised."""
+    words = op.random_words(spark, 3000, 8, seed=11).withColumn("s", fn.shape_str(F.col("word"))).withColumn("n", fn.normalize(F.col("word"), "lenient"))
+    return words.select("id", (fn.shape_str(F.col("n")) == F.col("s")).alias("kept"))
+
+
 def rule_names(spark, d):
     return op.rule_names(spark)
 
@@ -286,7 +298,7 @@ QUERIES = (
     letter_positions, words_extract, words_distinct_topk, classify_chars, check_word_chars, token_positions, code_points, default_forms, rule_conditions, rule_effects,
     shape_detailed, shape_raw, shape_str, shape_controls, shape_groups, shape_groups_topk, representatives, dedup_by_shape, docs_by_shape, same_shape_join, shape_semi, shape_anti,
     compare_raw_and_shape, compare_diff_groups, prefix_pairs, normalize, normalize_controls, canonicity_check, round_trip, normalize_text_shapes, encode_units, encode_positioned,
-    parse_units, parse_compact, control_rounds, expand_contract, batch_lines, inventories, variants, reverse_table, rule_names, stream_shape_dedup,
+    parse_units, parse_compact, control_rounds, expand_contract, batch_lines, inventories, variants, reverse_table, battery_table, random_round_trip, rule_names, stream_shape_dedup,
 )
 
 

@@ -162,6 +162,8 @@ def oracle() -> dict[str, str]:
         "inventories": f"SELECT unit, position FROM {values(known, 'unit, position')}",
         "variants": f"SELECT alias, position, fvs, form, is_default, conditions FROM {values(variant, 'alias, position, fvs, form, is_default, conditions')}",
         "reverse_table": f"SELECT position, form, alias, spelling, true AS verified FROM {values(reverse, 'position, form, alias, spelling')}",
+        "battery_table": f"SELECT gender, position, form, alias, spelling FROM {values([('any', *r) for r in reverse] + [('feminine', p, k, a, t) for (p, k), (a, t) in c.encode_feminine.items()], 'gender, position, form, alias, spelling')}",
+        "random_round_trip": "SELECT range AS id, true AS kept FROM range(3000)",
         "rule_names": f"SELECT place, rule FROM {values(list(enumerate(tables.RULES, 1)), 'place, rule')}",
         "parse_units": f"{counted} SELECT shape AS spec, shape AS parsed FROM full_ GROUP BY ALL",
         "control_rounds": "SELECT range AS id, true AS idempotent FROM range(6561)",
