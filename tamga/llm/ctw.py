@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import BLOB, blob_rows, cut, pack_arrays, to_blocks, unpack, unpack_arrays
+from tamga.llm.blocks import BLOB, blob_rows, cut, pack_arrays, release, to_blocks, unpack, unpack_arrays
 
 DEPTH = 5
 START, END = b"\xfe", b"\xff"
 CHUNK_BYTES = 1 << 20
+#: Texts counted together; their distinct grams and words are held at once.
+BLOCK_BYTES = 10 << 20
 #: Bounds of the number of key buckets; it follows the number of blocks.
 BUCKETS = 64, 4096
 FOLDS, HELD_OUT = 7, 2
@@ -87,10 +89,64 @@ def _block_counts(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff(np.append(first, len(key)))
         key = key[first]
-        parts.append((key >> np.uint64(1), np.where(key & np.uint64(1), n, 0)))
+        parts.append((key >> np.uint64(1), np.where(key & np.uint64(1), n, 0).astype(np.uint32)))
+        if len(parts) > 3:  # merged early, to hold few at once
+            parts = [_merge(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))]
     return _merge(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
 
 
+class _Summary:
+    """What a block asks for, by bucket; made alike when it announces and when it reads the answers."""
+
+    def __init__(self, texts: list[bytes], train: list[bool], buckets: int):
+        self.keys, self.counts = _block_counts(texts, train)
+        bucket = _bucket_of(self.keys, buckets)
+        self.order = np.argsort(bucket, kind="stable")
+        self.starts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        self.words: Counter = Counter()
+        for t, learn in zip(texts, train, strict=True):
+            self.words.update(t.lower().split() if learn else dict.fromkeys(t.lower().split(), 0))
+        self.dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+        for w in self.words:
+            self.dealt[zlib.crc32(w) % buckets].append(w)
+
+    def grams(self, bucket: int) -> np.ndarray:
+        return self.order[self.starts[bucket] : self.starts[bucket + 1]]
+
+
+class _Lookup:
+    """A hash table of gram keys with linear probing; sorted search misses the cache at every step."""
+
+    EMPTY = np.uint64((1 << 64) - 1)  # no gram: they have DEPTH + 1 bytes
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, self.EMPTY)
+        self.values = np.zeros(1 << self.bits)
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] == self.EMPTY
+            self.keys[slot[free]] = keys[free]  # of several for one slot, one stays
+            placed = self.keys[slot] == keys
+            self.values[slot[placed]] = values[placed]
+            keys, values, slot = keys[~placed], values[~placed], (slot[~placed] + 1) % len(self.keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, all of which are there."""
+        slot = self._slot(keys)
+        out = self.values[slot]
+        wrong = np.flatnonzero(self.keys[slot] != keys)
+        while len(wrong):
+            at = (slot[wrong] + 1) % len(self.keys)
+            slot[wrong] = at
+            out[wrong] = self.values[at]
+            wrong = wrong[self.keys[at] != keys[wrong]]
+        return out
+
+
 def _word_blob(words: list[bytes], counts: list[int]) -> bytes:
     return pack_arrays(np.array(counts, np.int64), np.frombuffer(b" ".join(words), np.uint8))
 
@@ -189,7 +245,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(doc_id, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score): scores are log10."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    blocks = to_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    blocks = to_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), limit=BLOCK_BYTES)
     buckets = min(max(blocks.count(), BUCKETS[0]), BUCKETS[1])
 
     def texts_of(payload: bytes) -> tuple[pa.Array, list[bytes], list[bool]]:
@@ -201,26 +257,13 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, texts, train = texts_of(payload.as_py())
-                keys, n = _block_counts(texts, train)
-                bucket = _bucket_of(keys, buckets)
-                order = np.argsort(bucket, kind="stable")
-                starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                own = _Summary(texts, train, buckets)
                 for b in range(buckets):
-                    own = order[starts[b] : starts[b + 1]]
-                    if len(own):
-                        yield blob_rows([(block, b, pack_arrays(keys[own], n[own].astype(np.uint32)))])
-                words: Counter = Counter()
-                for t, learn in zip(texts, train, strict=True):
-                    if learn:
-                        words.update(t.lower().split())
-                    else:
-                        words.update(dict.fromkeys(t.lower().split(), 0))
-                dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-                for w in words:
-                    dealt[zlib.crc32(w) % buckets].append(w)
-                for b, own in enumerate(dealt):
-                    if own:
-                        yield blob_rows([(block, buckets + b, _word_blob(own, [words[w] for w in own]))])
+                    at, words = own.grams(b), own.dealt[b]
+                    if len(at):
+                        yield blob_rows([(block, b, pack_arrays(own.keys[at], own.counts[at]))])
+                    if words:
+                        yield blob_rows([(block, buckets + b, _word_blob(words, [own.words[w] for w in words]))])
                 yield blob_rows([(block, 2 * buckets, _word_blob([], [sum(train)]))])
 
     stats = cut(blocks.mapInArrow(count, BLOB))
@@ -244,13 +287,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     above = grams.groupBy("bucket").applyInArrow(upper, "node long, ones double, everything double, split double")
     above = above.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("ones", "everything", "split"))).toPandas()  # 65,536 rows at most
+    release(spark)
     top = spark.sparkContext.broadcast(Top(*(above[c].to_numpy() for c in ("node", "ones", "everything", "split"))))
 
     def answer_grams(table: pa.Table) -> pa.Table:
         names, asked, keys, n = merged(table)
         logs = code_lengths(keys, n, top.value).astype(np.float32)
         bucket = table["bucket"][0].as_py()
-        return pa.Table.from_batches([blob_rows([(b, bucket, pack_arrays(k, logs[np.searchsorted(keys, k)])) for b, k in zip(names, asked, strict=True)])])
+        return pa.Table.from_batches([blob_rows([(b, bucket, pack_arrays(logs[np.searchsorted(keys, k)])) for b, k in zip(names, asked, strict=True)])])
 
     def answer_words(table: pa.Table) -> pa.Table:
         total: Counter = Counter()
@@ -259,11 +303,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for w, c in zip(words, counts.tolist(), strict=True):
                 total[w] += c
         bucket = table["bucket"][0].as_py()
-        rows = [(b, bucket, _word_blob(words, [total[w] for w in words])) for b, (words, _) in zip(table["block"].to_pylist(), parts, strict=True)]
+        rows = [(b, bucket, pack_arrays(np.array([total[w] for w in words], np.int64))) for b, (words, _) in zip(table["block"].to_pylist(), parts, strict=True)]
         known = [c for c in total.values() if c]
         return pa.Table.from_batches([blob_rows([*rows, (-1, bucket, _word_blob([], [len(known), sum(known)]))])])
 
     words = cut(lists.groupBy("bucket").applyInArrow(answer_words, BLOB))
+    release(spark)
     # a row for each bucket, and the numbers of training texts, a row for each block
     ends = stats.where(F.col("bucket") == 2 * buckets).select("blob")
     trained, vocabulary, tokens = _totals(words.where("block = -1").select("blob"), ends)
@@ -271,22 +316,21 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     floor = float(tokens + vocabulary + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        bucket = np.array(right["bucket"].to_pylist())
-        blobs = right["blob"].to_pylist()
-        parts = [unpack_arrays(blobs[i]) for i in np.flatnonzero(bucket < buckets)]
-        keys, logs = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
-        order = np.argsort(keys)
-        keys, logs = keys[order], logs[order].astype(np.float64)
-        del parts, order
-        seen: dict[bytes, int] = {}
-        for i in np.flatnonzero(bucket >= buckets):
-            own, counts = _word_unblob(blobs[i])
-            seen.update(zip(own, counts.tolist(), strict=True))
         ids, texts, train = texts_of(left["payload"][0].as_py())
+        own = _Summary(texts, train, buckets)
+        logs, seen = np.zeros(len(own.keys)), own.words
+        for bucket, blob in zip(right["bucket"].to_pylist(), right["blob"], strict=True):
+            (answer,) = unpack_arrays(blob.as_py())
+            if bucket < buckets:
+                logs[own.grams(bucket)] = answer
+            else:
+                for w, c in zip(own.dealt[bucket - buckets], answer.tolist(), strict=True):
+                    seen[w] = c
+        look = _Lookup(own.keys, logs)
         scores = np.zeros(len(texts))
         for a, b in _chunks(texts):
             key, lengths = _grams(texts[a:b])
-            scores[a:b] = np.add.reduceat(logs[np.searchsorted(keys, key)], np.cumsum(lengths) - lengths)
+            scores[a:b] = np.add.reduceat(look(key), np.cumsum(lengths) - lengths)
         n_tokens, n_known, base = [], [], []
         for t in texts:
             counts = np.array([*map(seen.__getitem__, t.lower().split()), trained], np.float64)
