@@ -11,6 +11,7 @@ each key once.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,11 +35,42 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the shared folder; later stages restart from there when executors are lost."""
+    """The rows of df, kept in the shared folder; later stages restart from there when executors are lost.
+
+    Spark drops them with the last frame that reads them. For rounds of a loop use Kept: a checkpoint carries its
+    plan's size estimate along, and joins multiply these from round to round.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Kept:
+    """Rows of a loop's rounds as Parquet in the shared folder, dropped together when the loop is over."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        drop(self.spark, self.folder)
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffles and checkpoints of frames that are out of reach."""
     import gc

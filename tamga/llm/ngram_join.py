@@ -4,12 +4,12 @@ A document's set are its distinct 5-word shingles as 64-bit hashes, in one globa
 documents hold the shingle. Two sets with a Jaccard similarity of THRESHOLD share a shingle among the first
 n - ceil(THRESHOLD * n) + 1 of each, so documents meet at the shingles of these prefixes that another document holds.
 
-In every meeting group some members are pivots (the least of each of a number of salts, so one aggregation finds
-them). The ordered sets of pivots go, once for each block of probing documents, into a radix trie; a probe walks it
-with the overlap so far, shared by all sets below an edge, and leaves a subtree when the overlap and what remains
-on either side can't reach the least overlap that any set below needs. Members that are linked, directly or through others, needn't be compared
-again; groups whose other members are still apart get eight times the pivots in the next round. A member that has
-been a pivot was compared with all others, so the rounds end and no link between components is lost.
+First each meeting group has one pivot, its least row, which the others are compared with; most copies are connected
+by that. Groups whose other members are still apart are joined by all they share: rows that meet in any of them form a
+family, and the parts of a family meet two by two. Everywhere the ordered sets of one side (pivots, or a part) are
+stored in a radix trie, and a probe walks it with the overlap so far, shared by all sets below an edge, and leaves a
+subtree when the overlap and what remains on either side can't reach the least overlap that any set below needs. Rows
+that are connected already, directly or through others, aren't compared again, so no link between components is lost.
 
 Documents with equal sets are one class with one representative; only representatives are joined. Null and empty
 texts have no shingles and are linked with nothing, not even with each other. Fewer than 5 words are one shingle.
@@ -27,13 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import BLOB, blob_rows, cut, pack_arrays, release, to_blocks, unpack, unpack_arrays
+from tamga.llm.blocks import BLOB, Kept, blob_rows, cut, pack_arrays, to_blocks, unpack, unpack_arrays
 
 WORDS = 5
 #: The least similarity, as a fraction of whole numbers.
 LEAST = 4, 5
 BUCKETS = 64, 4096
-SALTS = 8
+#: Rows of a family that one task stores in its trie.
+PART_ROWS = 512
 REMEMBERED = 400_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _known: dict[bytes, int] = {}
@@ -149,11 +150,17 @@ class Trie:
             at = bisect_left(places, lo)
             if at == len(places) or places[at] >= hi:
                 continue
-            if len(edge) and len(tokens):
-                spot = np.minimum(np.searchsorted(tokens, edge), len(tokens) - 1)
-                overlap += int(np.count_nonzero(tokens[spot] == edge))
-                passed = int(np.searchsorted(tokens, edge[-1], "right"))
-            if overlap + min(remaining, len(tokens) - passed) < least_overlap(size, least):
+            need, at = least_overlap(size, least), 0
+            reach = overlap + min(len(edge) + remaining, len(tokens) - passed)
+            while reach >= need and at < len(edge):
+                # a piece at a time, growing: sets that don't link mostly differ in their first, rarest shingles
+                piece = edge[at : 2 * at + 32]
+                at += len(piece)
+                spot = np.searchsorted(tokens, piece)
+                overlap += int(np.count_nonzero(tokens[np.minimum(spot, len(tokens) - 1)] == piece))
+                passed = int(spot[-1]) + int(spot[-1] < len(tokens) and tokens[spot[-1]] == piece[-1])
+                reach = overlap + min(len(edge) - at + remaining, len(tokens) - passed)
+            if reach < need:
                 continue
             found += [i for i in ends if overlap >= least_overlap(size, self.sizes[i]) and i in asked]
             stack += [(child, overlap, passed) for child in children]
@@ -162,14 +169,19 @@ class Trie:
 
 def _components(links: DataFrame) -> DataFrame:
     """(row, component) of all rows in links (a, b): least labels spread, with a jump along labels each time."""
-    edges = cut(links.union(links.select("b", "a")).toDF("row", "other").distinct())
+    with Kept(links.sparkSession) as keep:
+        return cut(_spread(links, keep))
+
+
+def _spread(links: DataFrame, keep: Kept) -> DataFrame:
+    edges = keep(links.union(links.select("b", "a")).toDF("row", "other").distinct())
     labels = edges.groupBy("row").agg(F.least(F.min("other"), F.col("row")).alias("component"))
-    labels = cut(labels)
+    labels = keep(labels)
     while True:
         near = edges.join(labels.toDF("other", "their"), "other").groupBy("row").agg(F.min("their").alias("their"))
         spread = labels.join(near, "row").select("row", "component", F.least("component", "their").alias("new"))
         jump = labels.toDF("new", "root")
-        after = cut(spread.join(jump, "new", "left").select("row", "component", F.least("new", F.coalesce("root", "new")).alias("new")))
+        after = keep(spread.join(jump, "new", "left").select("row", "component", F.least("new", F.coalesce("root", "new")).alias("new")))
         changed = after.where(F.col("new") != F.col("component")).limit(1).count()
         labels = after.select("row", F.col("new").alias("component"))
         if not changed:
@@ -184,7 +196,6 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
-    spark = blocks.sparkSession
     count = blocks.count()
     buckets = min(max(count, BUCKETS[0]), BUCKETS[1])
 
@@ -267,9 +278,7 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
 
     asked = stats.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, BLOB)
     own = heads.withColumn("block", _block_of(F.col("head"))).select("block", "head").groupBy("block").applyInArrow(head_lists, BLOB)
-    sets = cut(blocks.groupBy("block").cogroup(asked.unionByName(own).groupBy("block")).applyInArrow(second_pass, "row long, n int, shared binary, meets int"))
-    del stats, asked, own
-    release(spark)
+    sets = blocks.groupBy("block").cogroup(asked.unionByName(own).groupBy("block")).applyInArrow(second_pass, "row long, n int, shared binary, meets int")
     links = _links(sets, count)
     labels = _components(links)
     reached = facts.where("n > 0").join(heads, ["digest", "n"]).select("row", "doc_id", "n", "head")
@@ -283,48 +292,82 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
 
 def _links(sets: DataFrame, count: int) -> DataFrame:
     """(a, b): links that connect all that is linked. sets: (row, n, shared, meets)."""
-    groups = max(16, count)
+    with Kept(sets.sparkSession) as keep:
+        return cut(_joined(keep(sets), count, keep))
 
+
+def _joined(sets: DataFrame, count: int, keep: Kept) -> DataFrame:
     def meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, meets = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             tokens = [np.frombuffer(s.as_py(), np.uint64, m).view(np.int64) for s, m in zip(batch.column(2), meets, strict=True)]
             yield pa.record_batch([pa.array(np.concatenate(tokens)), pa.array(np.repeat(rows, meets)), pa.array(np.repeat(batch.column(1).to_numpy(), meets))], ["token", "row", "n"])
 
-    open_rows = sets.mapInArrow(meetings, "token long, row long, n int")
-    several = open_rows.groupBy("token").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("token")
-    open_rows = cut(open_rows.join(several, "token", "left_semi"))
-    found = None
-    labels = None
-    salts = 1
-    while True:
-        salt = F.pmod(F.xxhash64("row", F.lit(salts)), F.lit(salts))
-        labelled = open_rows.withColumn("component", F.col("row")) if labels is None else open_rows.join(labels, "row", "left").withColumn("component", F.coalesce("component", "row"))
-        chosen = labelled.groupBy("token", salt.alias("salt")).agg(F.min(F.struct("row", "n", "component")).alias("p")).select("token", F.col("p.row").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component"))
-        chosen = cut(chosen)
-        a, b = LEAST
-        pairs = labelled.join(chosen, "token").where(F.col("row") != F.col("pivot")).where(F.col("component") != F.col("pivot_component"))
-        pairs = pairs.where((b * F.col("n") >= a * F.col("pivot_n")) & (b * F.col("pivot_n") >= a * F.col("n")))
-        pairs = cut(pairs.select("row", "pivot").distinct())
-        new = cut(_probed(sets, pairs, groups))
-        found = new if found is None else cut(found.unionByName(new))
-        # those that were pivots have met all the others of their group
-        rest = open_rows.join(chosen.select("token", F.col("pivot").alias("row")), ["token", "row"], "left_anti")
-        labels = _components(found)
-        rest = rest.join(labels, "row", "left").withColumn("component", F.coalesce("component", "row"))
-        apart = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-        open_rows = cut(rest.drop("component").join(apart, "token", "left_semi"))
-        if not open_rows.limit(1).count():
-            return found
-        salts *= SALTS
-
-
-def _probed(sets: DataFrame, pairs: DataFrame, groups: int) -> DataFrame:
-    """The pairs (row, pivot) that link, as (a, b). Each group of probing rows gets each pivot it needs once."""
+    rows = sets.mapInArrow(meetings, "token long, row long, n int")
+    several = rows.groupBy("token").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("token")
+    rows = keep(rows.join(several, "token", "left_semi"))
+    pivots = keep(rows.groupBy("token").agg(F.min(F.struct("row", "n")).alias("p")).select("token", F.col("p.row").alias("pivot"), F.col("p.n").alias("m")))
+    a, b = LEAST
+    asked = rows.join(pivots, "token").where((F.col("row") != F.col("pivot")) & (b * F.col("n") >= a * F.col("m")) & (b * F.col("m") >= a * F.col("n")))
+    near = keep(_probed(sets, keep(asked.groupBy("row").agg(F.collect_set("pivot").alias("pivots"))), max(16, count)))
+    labels = _spread(near, keep)
+    # a group's pivot has met all the others; these are compared unless they are one component by now
+    rest = rows.join(pivots.select("token", F.col("pivot").alias("row")), ["token", "row"], "left_anti")
+    rest = rest.join(labels, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    apart = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("row").alias("first")).where("low < high").select("token", "first")
+    rest = keep(rest.join(apart, "token").select("row", "component", "first").distinct())
+    families = _spread(rest.select(F.col("row").alias("a"), F.col("first").alias("b")), keep).toDF("row", "family")
+    members = keep(rest.select("row", "component").distinct().join(families, "row").join(sets.select("row", "n", "shared"), "row"))
+    return near.unionByName(_far(members))
+
+
+def _far(members: DataFrame) -> DataFrame:
+    """The links between components in each family of rows that may meet, as (a, b), by trie joins of its parts."""
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    dealt = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    # each part meets each: a row goes to as many places as its family has parts
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("row", "n", "shared", "component", "family", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def join(table: pa.Table) -> pa.Table:
+        part, i, j = (table[c].to_numpy() for c in ("part", "i", "j"))
+        rows, sizes = table["row"].to_numpy(), table["n"].to_numpy().astype(np.int64)
+        names, component = np.unique(table["component"].to_numpy(), return_inverse=True)
+        root = np.arange(len(names))
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table["shared"]]
+        one = i[0] == j[0]
+        stored = np.arange(len(rows)) if one else np.flatnonzero(part == i[0])
+        probing = stored if one else np.flatnonzero(part == j[0])
+        links: list[tuple[int, int]] = []
+        if len(stored) and len(probing):
+            trie = Trie([sets[k] for k in stored], sizes[stored].tolist())
+            a, b = LEAST
+            for at, x in enumerate(probing.tolist()):
+                others = stored[:at] if one else stored
+                m = sizes[others]
+                may = (root[component[others]] != root[component[x]]) & (b * m >= a * sizes[x]) & (b * sizes[x] >= a * m)
+                wanted = np.flatnonzero(may)
+                for k in trie.probe(sets[x], int(sizes[x]), wanted.tolist()) if len(wanted) else ():
+                    old, new = root[component[stored[k]]], root[component[x]]
+                    if old != new:
+                        root[root == old] = new
+                        links.append((int(rows[x]), int(rows[stored[k]])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return met.groupBy("family", "i", "j").applyInArrow(join, "a long, b long")
+
+
+def _probed(sets: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
+    """The pairs that link, as (a, b), of rows and the pivots they ask for (row, pivots array). Each group of probing
+    rows gets each pivot it needs once."""
     group = F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group")
-    asked = pairs.groupBy("row").agg(F.collect_list("pivot").alias("pivots"))
+
+    def once(table: pa.Table) -> pa.Table:
+        pivots = np.unique(table["pivots"].combine_chunks().flatten().to_numpy())
+        return pa.table({"group": pa.array(np.full(len(pivots), table["group"][0].as_py())), "row": pa.array(pivots)})
+
     probing = sets.join(asked, "row").select(group, "row", "n", "shared", "pivots")
-    needed = pairs.select(group, F.col("pivot").alias("row")).distinct()
+    needed = asked.select(group, "pivots").groupBy("group").applyInArrow(once, "group long, row long")
     pivots = sets.join(needed, "row").select("group", "row", "n", "shared").toDF("at", "row", "n", "shared")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
