@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import cut
+from tamga.llm.blocks import Kept, cut
 
 DEPTH = 6
 SIMILAR = 2.0
@@ -55,11 +55,16 @@ def segments_of(path: Column) -> Column:
 
 def template_tree(pages: DataFrame) -> DataFrame:
     """(host, segments, template, purity) from pages (host, segments, bad int or null)."""
+    with Kept(pages.sparkSession) as keep:
+        return cut(_grown(pages, keep))
+
+
+def _grown(pages: DataFrame, keep: Kept) -> DataFrame:
     bad = F.col("bad")
     tree = pages.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count(bad).alias("labelled"), F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("bad"))
     tree = tree.withColumn("template", F.lit(""))
     for level in range(DEPTH + 1):  # a level reads the tree four times, so each starts from a kept one
-        tree = cut(tree).withColumn("child", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
+        tree = keep(tree).withColumn("child", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
         sums = [F.sum(c).alias(c) for c in COUNTS]
         kids = tree.groupBy("host", "template", "child").agg(*sums)
         own = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
@@ -71,7 +76,7 @@ def template_tree(pages: DataFrame) -> DataFrame:
         merged = (F.col("kids") > 1) & (z < SIMILAR)
         kids = kids.select("host", "template", "child", F.when(F.col("child") == "", "").when(merged, "/*").otherwise(F.concat(F.lit("/"), "child")).alias("step"))
         tree = tree.join(kids, ["host", "template", "child"]).select("host", "segments", *COUNTS, F.concat("template", "step").alias("template"))
-    tree = cut(tree)
+    tree = keep(tree)
     everywhere = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 1.0)).alias("base")).scalar()
     hosts = tree.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     hosts = hosts.select("host", ((F.col("host_bad") + WEIGHT * everywhere) / (F.col("host_labelled") + WEIGHT)).alias("host_share"))
