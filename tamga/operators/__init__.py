@@ -87,11 +87,13 @@ def prefix_pairs(shaped: DataFrame) -> DataFrame:
     return starts.join(shapes, "shape").select("shape", "longer")
 
 
-def token_rows(words: DataFrame, word: str = "word") -> DataFrame:
-    """word, i, ch, kind, fvs, alias, position: a row for each token. All native."""
-    listed = words.select(F.col(word).alias("word"), fn.tokens(F.col(word)).alias("t"))
-    zipped = listed.select("word", F.arrays_zip("t", fn.token_positions(F.col("t")).alias("p")).alias("z"))
-    rows = zipped.select("word", F.posexplode("z").alias("i", "z")).select("word", "i", "z.t.ch", "z.t.kind", "z.t.fvs", F.col("z.p").alias("position"))
+def token_rows(words: DataFrame, word: str = "word", keep: list[str] | None = None) -> DataFrame:
+    """word, keep, i, ch, kind, fvs, alias, position: a row for each token. All native."""
+    base = ["word", *(keep or [])]
+    listed = words.select(F.col(word).alias("word"), *(keep or []), fn.tokens(F.col(word)).alias("t"))
+    placed = listed.select(*base, F.arrays_zip("t", fn.token_positions(F.col("t")).alias("p")).alias("z"))
+    # outer: else a filter on the tokens' number is inferred, moved below the caller's aggregation and done for each word
+    rows = placed.select(*base, F.posexplode_outer("z").alias("i", "z")).where("i is not null").select(*base, "i", "z.t.ch", "z.t.kind", "z.t.fvs", F.col("z.p").alias("position"))
     return rows.join(F.broadcast(letters(words.sparkSession).select("ch", "alias")), "ch", "left")  # 35 rows
 
 

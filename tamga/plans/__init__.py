@@ -53,7 +53,7 @@ def words_distinct_topk(spark, d):
 
 def letter_positions(spark, d):
     """How many letters of the corpus are isolated, initial, medial, final."""
-    return op.token_rows(counted(spark, d)).join(counted(spark, d), "word").groupBy("alias", "position").agg(F.sum("n").alias("n"))
+    return op.token_rows(counted(spark, d), keep=["n"]).groupBy("alias", "position").agg(F.sum("n").alias("n"))
 
 
 def classify_chars(spark, d):

@@ -31,7 +31,7 @@ def lines(text: Column) -> Column:
 
 def explode_lines(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep, number from 1, line."""
-    return df.select(*(keep or []), F.posexplode(lines(F.col(text))).alias("number", "line")).withColumn("number", F.col("number") + 1)
+    return df.select(*(keep or []), F.posexplode_outer(lines(F.col(text))).alias("number", "line")).where("number is not null").withColumn("number", F.col("number") + 1)
 
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
