@@ -10,9 +10,10 @@ each key once.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,22 @@ def drop(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What operators remember in a worker between tasks, by operator, and how to forget it.
+FORGET: dict[str, Callable[[], None]] = {}
+
+
+def tidy(own: str = "") -> None:
+    """Forget what other operators remember in this worker, and give free memory back to the machine."""
+    for name, forget in FORGET.items():
+        if name != own:
+            forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffles and checkpoints of frames that are out of reach."""
     import gc
@@ -114,6 +131,7 @@ def to_blocks(docs: DataFrame, text: str = "text", limit: int = BLOCK_BYTES) ->
             for part in slices(batch, limit, text):
                 yield pa.record_batch([pa.array([number], pa.int64()), pa.array([pack(part)], pa.binary())], ["block", "payload"])
                 number += 1
+        tidy()
 
     return cut(docs.mapInArrow(build, "block long, payload binary"))
 

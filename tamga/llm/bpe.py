@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import slices
+from tamga.llm.blocks import FORGET, slices, tidy
 
 #: Pieces whose ids a worker remembers; more are looked up again, nothing is dropped.
 REMEMBERED = 300_000
@@ -132,6 +132,9 @@ def bpe(ranks_path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks_path, pattern)
 
 
+FORGET["bpe"] = bpe.cache_clear
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """docs with ids array<int>; with offsets, also spans array<struct<start, end>> in code points; with decoded,
     also decoded binary, the ids turned back to bytes."""
@@ -141,6 +144,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "ids array<int>", *["spans array<struct<start:int,end:int>>"] * offsets, *["decoded binary"] * decoded])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy("bpe")
         model = bpe(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, SLICE_BYTES, "_text_"):

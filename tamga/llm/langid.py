@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import cut, slices
+from tamga.llm.blocks import cut, slices, tidy
 
 BINS = 1 << 16
 #: Labelled rows that the text model is fitted on, about.
@@ -35,7 +35,7 @@ TEMPER = 0.5
 #: Distinct hosts, suffixes or declarations that may be sent to all tasks; more are joined by shuffles.
 SMALL = 100_000
 UNKNOWN = "und"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
 
 @dataclass
@@ -55,7 +55,7 @@ def _bins(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(16)
     begins = np.cumsum(lengths + 2) - lengths - 2
     at = np.arange(int(lengths.sum())) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
-    return h[at].astype(np.int64), lengths
+    return h[at], lengths
 
 
 def fit_text_model(docs: DataFrame, label: str, text: str, sample: int = SAMPLE) -> TextModel:
@@ -92,17 +92,19 @@ def _scored(docs: DataFrame, model: TextModel, text: str, keep: list[str]) -> Da
     schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "_ll array<double>"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         tables = shared.value.tables
         for batch in batches:
             for part in slices(batch, SLICE_BYTES, "_text_"):
                 bins, lengths = _bins(part.column(part.num_columns - 1).to_pylist())
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                sums = np.empty((len(lengths), len(tables)))
-                for i, table in enumerate(tables):
-                    total = np.concatenate([[0.0], np.cumsum(table[bins])])
-                    sums[:, i] = TEMPER * (total[ends[1:]] - total[ends[:-1]])
+                full = np.flatnonzero(lengths)
+                starts = (np.cumsum(lengths) - lengths)[full]
+                sums = np.zeros((len(lengths), len(tables)))
+                for i, table in enumerate(tables if len(full) else ()):
+                    sums[full, i] = TEMPER * np.add.reduceat(table[bins], starts)
                 ll = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * len(tables)), pa.array(sums.ravel()), mask=pa.array(lengths == 0))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ll], [*keep, "_ll"])
+        tidy()
 
     return docs.select(*keep, F.col(text).alias("_text_")).mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import BLOB, Kept, blob_rows, cut, pack_arrays, to_blocks, unpack, unpack_arrays
+from tamga.llm.blocks import BLOB, FORGET, Kept, blob_rows, cut, pack_arrays, tidy, to_blocks, unpack, unpack_arrays
 
 WORDS = 5
 #: The least similarity, as a fraction of whole numbers.
@@ -35,9 +35,11 @@ LEAST = 4, 5
 BUCKETS = 64, 4096
 #: Rows of a family that one task stores in its trie.
 PART_ROWS = 512
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+BLOCK_BYTES = 8 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _known: dict[bytes, int] = {}
+FORGET["ngram_join"] = _known.clear
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -192,7 +194,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, row, n_shingles, component_id, component): a row for each document; component_id is the least doc_id
     that links reach, component a number of the same group that also tells apart rows without or with equal ids."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    return _near(to_blocks(docs.select(doc_id, text), text), kind, doc_id, text)
+    return _near(to_blocks(docs.select(doc_id, text), text, BLOCK_BYTES), kind, doc_id, text)
 
 
 def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
@@ -221,6 +223,8 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
                 for b in range(buckets):
                     if at[b] < at[b + 1]:
                         yield blob_rows([(block, b, pack_arrays(h32[at[b] : at[b + 1]], n[at[b] : at[b + 1]].astype(np.uint32)))])
+                del sets, h32, n
+                tidy("ngram_join")
 
     stats = cut(blocks.mapInArrow(first_pass, BLOB))
 
@@ -273,6 +277,8 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
                     out["n"].append(len(s))
                     out["shared"].append(tokens.tobytes())
                     out["meets"].append(min(meets, len(tokens)))
+            del sets, h32, rarity
+            tidy("ngram_join")
         kinds = {"row": pa.int64(), "n": pa.int32(), "shared": pa.binary(), "meets": pa.int32()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
@@ -387,7 +393,7 @@ def _probed(sets: DataFrame, asked: DataFrame, groups: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the least id; the first row of equal or null ids."""
-    blocks = to_blocks(docs, text)
+    blocks = to_blocks(docs, text, BLOCK_BYTES)
     found = _near(blocks, docs.schema[doc_id].dataType.simpleString(), doc_id, text)
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     kept = kept.select(_block_of(F.col("first.row")).alias("block"), F.col("first.row").alias("row"))
