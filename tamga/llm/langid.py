@@ -2,8 +2,8 @@
 
 The posterior of a language is its text likelihood times the probability of the declared language given it, of the
 address suffix given it, and its prior at the host. Text likelihoods are of byte trigrams (hashed to BINS), learnt
-from labelled rows: of all that have one of the labels, a share of SAMPLE rows in expectation, chosen by a hash of
-the whole row. The other tables are grouped counts over all rows, by the language that the text alone suggests:
+from labelled rows. Every label of any row is a language; of its distinct texts all are used when they are SAMPLE or
+fewer, else SAMPLE of them in expectation, those of the least hashes; copies of a text count once there. The other tables are grouped counts over all rows, by the language that the text alone suggests:
 declarations and suffixes with add-one smoothing, host priors smoothed towards their suffix's, those towards the
 corpus's. `und`, a language of uniform bytes, stands for texts of no known language.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tamga.llm.blocks import cut, slices, tidy
 
 BINS = 1 << 16
-#: Labelled rows that the text model is fitted on, about.
+#: Distinct texts of each label that the text model is fitted on, about; a label with fewer is used whole.
 SAMPLE = 4000
 ACCEPTED = 0.5
 #: How much evidence a host or suffix needs to outweigh the level above it.
@@ -59,23 +59,31 @@ def _bins(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_text_model(docs: DataFrame, label: str, text: str, sample: int = SAMPLE) -> TextModel:
-    labelled = docs.where(F.col(label).isNotNull() & (F.length(F.col(text)) > 0))
-    n = labelled.count()
-    share = F.pmod(F.xxhash64(label, text), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
+    labelled = docs.where(F.col(label).isNotNull() & (F.length(F.col(text)) > 0)).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).withColumn("hash", F.xxhash64("label", "text"))
+    distinct = {r["label"]: r["n"] for r in labelled.groupBy("label", "hash").agg(F.lit(1).alias("one")).groupBy("label").agg(F.sum("one").alias("n")).collect()}  # a row for each label
+    languages = sorted(distinct)
+    space = 1 << 48
+    limits = {one: int(space * sample / n) for one, n in distinct.items() if n > sample}
+    if limits:
+        limit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("label")).cast("long"), F.lit(space))
+        labelled = labelled.where(F.pmod("hash", F.lit(space)) < limit)
+    rows = labelled.dropDuplicates(["label", "hash"]).select("label", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
         for batch in batches:
-            labels = np.array(batch.column(0).to_pylist())
-            texts = batch.column(1).to_pylist()
-            for one in np.unique(labels).tolist():
-                bins, _ = _bins([t for t, x in zip(texts, labels.tolist(), strict=True) if x == one])
-                found = np.bincount(bins, minlength=BINS)
-                at = np.flatnonzero(found)
-                yield pa.record_batch([pa.array([one] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], ["label", "bin", "n"])
-
-    rows = labelled.where(share).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text")).mapInArrow(count, "label string, bin int, n long")
+            for part in slices(batch, SLICE_BYTES, "text"):
+                labels, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for one in set(labels):
+                    bins, _ = _bins([t for t, x in zip(texts, labels, strict=True) if x == one])
+                    found.setdefault(one, np.zeros(BINS, np.int64))
+                    found[one] += np.bincount(bins, minlength=BINS)
+        for one, n in found.items():
+            at = np.flatnonzero(n)
+            yield pa.record_batch([pa.array([one] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["label", "bin", "n"])
+
+    rows = rows.mapInArrow(count, "label string, bin int, n long")
     rows = rows.groupBy("label", "bin").agg(F.sum("n").alias("n")).toPandas()  # of the sample's trigrams
-    languages = sorted(set(rows["label"]))
     tables = np.zeros((len(languages) + 1, BINS + 1))
     for i, one in enumerate(languages):
         own = rows[rows["label"] == one]

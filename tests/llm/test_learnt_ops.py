@@ -67,6 +67,24 @@ def test_language_id_of_held_out_and_awkward_rows(spark, sf):
     assert identify(odd, nothing).count() == 4
 
 
+def test_language_id_knows_rare_labels(spark):
+    import numpy as np
+
+    from tamga.llm.langid import fit_text_model, identify
+
+    common = [(i, f"the quick brown fox jumps over lazy dog number {i}", "en") for i in range(3000)]
+    rare = [(10000 + i, f"žluťoučký kůň úpěl ďábelské ódy {i}", "cs") for i in range(3)]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    model = fit_text_model(docs, "lang", "text", sample=40)
+    assert model.languages == ["cs", "en", "und"]
+    got = {r.doc_id: r for r in identify(docs, model, declared="lang", keep=["doc_id"]).collect()}
+    assert all(got[i].language == "cs" and got[i].accepted for i, _, _ in rare)
+    # copies neither crowd others out nor count twice
+    copies = spark.createDataFrame(rare[:1] * 500, docs.schema)
+    again = fit_text_model(docs.unionByName(copies), "lang", "text", sample=40)
+    assert np.array_equal(again.tables, model.tables)
+
+
 def test_page_language_id(spark, sf):
     got = Q.page_language_id(spark, sf).collect()
     assert sum(r.accepted for r in got) > 0.9 * len(got)
