@@ -2,8 +2,9 @@
 
 A url is its host and its path's segments. Per host the segments form a tree. Segments that vary by form (numbers,
 hexadecimal or mixed identifiers) become wildcards at once; then, level by level from the root, children whose
-share of bad labels doesn't differ from their siblings' (a two-proportion z below SIMILAR, so also all without
-labels) are merged into one wildcard branch. What is left are templates; each has a purity: its labelled share of
+share of bad labels doesn't differ from their siblings' are merged into one wildcard branch: all without labels, and
+those whose likelihood ratio against their siblings, of raw counts, is below that of a z of SIMILAR. As of many siblings
+some differ by chance, the bound grows with the number of siblings that have labels. What is left are templates; each has a purity: its labelled share of
 bad pages, smoothed towards its host's share, which is smoothed towards the share of all pages. Templates of purity
 BAD or more are blocked.
 
@@ -53,6 +54,15 @@ def segments_of(path: Column) -> Column:
     return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
 
 
+def _unlikeness() -> Column:
+    """Twice the log likelihood ratio of a child and its siblings having shares of their own to having one: the square
+    of a z. 0 when either has no labels."""
+    fit = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(F.lit(0.0))
+    both = lambda bad, n: fit(bad, n) + fit(n - bad, n)
+    n, bad, all_n, all_bad = (F.col(c).cast("double") for c in ("labelled", "bad", "all_labelled", "all_bad"))
+    return 2 * (both(bad, n) + both(all_bad - bad, all_n - n) - both(all_bad, all_n))
+
+
 def template_tree(pages: DataFrame) -> DataFrame:
     """(host, segments, template, purity) from pages (host, segments, bad int or null)."""
     with Kept(pages.sparkSession) as keep:
@@ -67,13 +77,9 @@ def _grown(pages: DataFrame, keep: Kept) -> DataFrame:
         tree = keep(tree).withColumn("child", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
         sums = [F.sum(c).alias(c) for c in COUNTS]
         kids = tree.groupBy("host", "template", "child").agg(*sums)
-        own = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        own = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.count_if(F.col("labelled") > 0).alias("known"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         kids = kids.join(own, ["host", "template"])
-        rest, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        share = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1.0)
-        gap = F.abs((F.col("bad") + 0.5) / (F.col("labelled") + 1.0) - (rest_bad + 0.5) / (rest + 1.0))
-        z = gap / F.sqrt(share * (1 - share) * (1 / (F.col("labelled") + 1.0) + 1 / (rest + 1.0)))
-        merged = (F.col("kids") > 1) & (z < SIMILAR)
+        merged = (F.col("kids") > 1) & ((F.col("labelled") == 0) | (_unlikeness() < SIMILAR**2 + 2 * F.log(F.greatest(F.col("known") - 1, F.lit(1)))))
         kids = kids.select("host", "template", "child", F.when(F.col("child") == "", "").when(merged, "/*").otherwise(F.concat(F.lit("/"), "child")).alias("step"))
         tree = tree.join(kids, ["host", "template", "child"]).select("host", "segments", *COUNTS, F.concat("template", "step").alias("template"))
     tree = keep(tree)

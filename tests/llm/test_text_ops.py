@@ -197,3 +197,33 @@ def test_url_tree_learns_bad_templates(spark):
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in urls if i % 2], "page_id long, bad int")
     got = {r.page_id: (r.template, r.verdict) for r in judge_urls(pages, labels, {}).collect()}
     assert got[0] == ("/ads/{n}", "block") and got[100] == ("/post/{n}", "allow") and got[200][1] == "allow"
+
+
+@pytest.mark.parametrize("n", [3, 20, 400])
+def test_url_tree_merges_word_slugs_at_every_size(spark, n):
+    from tamga.llm.urls import judge_urls
+
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    # all bad, none bad, one in fifty bad; four of five pages of the host are clean, every second slug has no label
+    urls = [(i, f"http://h.x/spam/{word(i)}", 1) for i in range(2 * n)] + [(10**4 + i, f"http://h.x/news/{word(i)}", 0) for i in range(8 * n)]
+    urls += [(10**5 + i, f"http://g.x/blog/{word(i)}", int(i % 100 == 0)) for i in range(2 * n)]
+    pages = spark.createDataFrame([u[:2] for u in urls], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in urls if i % 2 == 0], "page_id long, bad int")
+    got = {r.page_id: (r.template, r.verdict) for r in judge_urls(pages, labels, {}).collect()}
+    for i, u, _ in urls:
+        branch = u.split("/")[3]
+        if branch == "blog":
+            assert n == 3 or got[i] == ("/blog/*", "allow")
+        else:
+            assert got[i] == (f"/{branch}/*", "block" if branch == "spam" else "allow")
+
+
+def test_url_tree_splits_what_differs(spark):
+    from tamga.llm.urls import judge_urls
+
+    urls = [(i, f"http://h.x/a/{'spam' if i < 30 else 'xyz'[i % 3]}/{i}") for i in range(300)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i, _ in urls], "page_id long, bad int")
+    got = judge_urls(pages, labels, {}).collect()
+    assert {(r.template, r.verdict) for r in got if r.page_id < 30} == {("/a/spam/{n}", "block")}
+    assert {r.verdict for r in got if r.page_id >= 30} == {"allow"}
