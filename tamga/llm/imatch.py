@@ -7,8 +7,10 @@ an edit that a part of many does not, and which level has few depends on the tex
 fingerprints is the largest share of equal parts at any level that says enough.
 
 The band's lower end is a share of all documents, so the lexicon has at most (mean distinct terms of a text) / share
-terms at any corpus size; that is what makes it fit to be sent to every task. A text without lexicon terms is
-hashed by all its terms instead. Equal texts have equal fingerprints. Null texts are empty. Rows with equal ids are
+terms at any corpus size; that is what makes it fit to be sent to every task. Few lexicon terms say little about a
+text, so a seed sees all terms of a text that holds fewer lexicon terms than the seed asks for: LEAST for the first,
+LEAST_STEP more for each next, so that an edit which crosses one bound changes the parts of that seed only. A text
+that no subset has terms of is hashed by all its terms as a whole. Equal texts have equal fingerprints. Null texts are empty. Rows with equal ids are
 ordered by their texts' hashes; null ids come first.
 """
 
@@ -24,6 +26,8 @@ from tamga.llm.blocks import cut
 #: The band, as shares of documents that hold a term.
 RAREST, COMMONEST = 0.001, 0.2
 LEVELS, SEEDS = 5, 6
+#: Lexicon terms that a text must hold for the first seed to leave its other terms out, and how many more for each next.
+LEAST, LEAST_STEP = 4, 2
 #: Slots of the lexicon's hash table.
 SLOTS = 1 << 14
 #: Documents sorted together, and the most ranges of ids.
@@ -54,9 +58,10 @@ def _kept(all_terms: str, slots: str) -> Column:
     return F.filter(all_terms, lambda t: F.array_contains(F.element_at(F.col(slots), (F.pmod(t, F.lit(SLOTS)) + 1).cast("int")), t))
 
 
-def _parts(kept: str) -> tuple[list[Column], Column]:
+def _parts(inside: str, every: str) -> tuple[list[Column], Column]:
     """Columns of the terms as each seed sees them, and the parts made from these: 0 for a subset without terms."""
-    seen = [F.array_sort(F.transform(kept, _seeded(seed))).alias(f"_s{seed}") for seed in range(SEEDS)]
+    kept = lambda seed: F.when(F.size(inside) >= LEAST + LEAST_STEP * seed, F.col(inside)).otherwise(F.col(every))
+    seen = [F.array_sort(F.transform(kept(seed), _seeded(seed))).alias(f"_s{seed}") for seed in range(SEEDS)]
     parts = []
     for level in range(LEVELS):
         mask = (1 << (1 + 2 * level)) - 1
@@ -80,10 +85,10 @@ def with_parts(df: DataFrame, text: Column, slots: Column, name: str) -> DataFra
     # the lexicon is a column for the analyser only; the two projections become one
     df = df.select(*columns, terms(text).alias("_all"), slots.alias("_slots"))
     df = df.select(*columns, "_all", _kept("_all", "_slots").alias("_in"))
-    df = df.select(*columns, F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.col("_all")).alias("_kept"), (F.size("_in") == 0).alias("_none"), F.xxhash64(F.array_sort("_all")).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(1)).cast("int").alias("_whole"))
-    seen, parts = _parts("_kept")
-    df = df.select(*columns, "_none", "_whole", *seen)
-    return df.select(*columns, F.when(F.col("_none"), F.array_repeat("_whole", LEVELS * SEEDS)).otherwise(parts).alias(name))
+    seen, parts = _parts("_in", "_all")
+    df = df.select(*columns, F.xxhash64(F.array_sort("_all")).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(1)).cast("int").alias("_whole"), *seen)
+    df = df.select(*columns, "_whole", parts.alias(name))
+    return df.select(*columns, F.when(F.exists(name, lambda p: p != 0), F.col(name)).otherwise(F.array_repeat("_whole", LEVELS * SEEDS)).alias(name))
 
 
 def likeness(a: str, b: str) -> Column:

@@ -42,6 +42,29 @@ def test_fingerprint(spark, sf, tmp_path):
     assert mean("near_edited") > 3 * mean("near_next")
 
 
+def test_fingerprint_with_few_lexicon_terms(spark):
+    from pyspark.sql import functions as F
+
+    from tamga.llm.imatch import lexicon, likeness, with_parts
+
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(60))
+    # of 5,000 documents a lexicon term needs 5: own words are outside, in0 to in12 and page7 inside
+    texts = [own(i) for i in range(5000)]
+    for k in range(13):
+        texts[100 * k : 100 * k + 10] = [f"{t} in{k}" for t in texts[100 * k : 100 * k + 10]]
+    texts[3000:3010] = [f"{t} page7" for t in texts[3000:3010]]
+    slots = lexicon(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text").scalar()
+    pairs = [("none", own(1), own(1).replace("own1x7 ", "")), ("one", f"{own(2)} page7", f"{own(2)} page7".replace("own2x7 ", "")), ("unrelated", f"{own(3)} page7", f"{own(4)} page7")]
+    pairs += [(f"across{k}", own(5) + "".join(f" in{j}" for j in range(k)), own(5) + "".join(f" in{j}" for j in range(k - 1))) for k in range(1, 14)]
+    pairs += [("tiny", "a", "b"), ("empty", "a", "")]
+    df = spark.createDataFrame(pairs, "kind string, a string, b string")
+    df = with_parts(with_parts(df, F.col("a"), slots, "pa"), F.col("b"), slots, "pb")
+    got = {r.kind: r.near for r in df.select("kind", likeness("pa", "pb").alias("near")).collect()}
+    assert got["none"] > 0.5 and got["one"] > 0.5 and got["unrelated"] < 0.3
+    assert got["tiny"] < 1 and got["empty"] < 1
+    assert all(got[f"across{k}"] >= 0.3 for k in range(1, 14)), got
+
+
 def test_language_id(spark, sf, tmp_path):
     rows = Q.op5_language_id(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
