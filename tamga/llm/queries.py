@@ -57,14 +57,15 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's language, by its text, its declared language and its source."""
+    """Every document's language, by its text, its declared language and its source. Documents have no address and no
+    markup, and lang is also what the text model is fitted on; op5_page_language_id has all the evidence."""
     from tamga.llm.langid import fit_text_model, identify
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return identify(docs, fit_text_model(docs, "lang", "text"), "text", declared="lang", host="source", keep=["doc_id", "lang"])
 
 
-def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's language, by its text, its markup, its address suffix and its host."""
     from tamga.llm.langid import fit_text_model, identify_pages
 
@@ -72,6 +73,11 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_pages(_read(spark, sf_dir, "pages"), model, keep=["page_id"])
 
 
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_page_language_id under its first name."""
+    return op5_page_language_id(spark, sf_dir)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -122,7 +128,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_context_tree, op3_ngram_join, op4_fingerprint, op5_language_id, op6_secret_scan, op7_decontamination, op8_chat_format, op9_repeated_spans, op10_url_filter, page_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_context_tree, op3_ngram_join, op4_fingerprint, op5_language_id, op5_page_language_id, op6_secret_scan, op7_decontamination, op8_chat_format, op9_repeated_spans, op10_url_filter, page_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

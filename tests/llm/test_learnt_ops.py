@@ -113,6 +113,23 @@ def test_page_language_id(spark, sf):
     assert sum(r.accepted for r in got) > 0.9 * len(got)
 
 
+def test_registered_page_language_id_uses_all_evidence(spark, sf):
+    from tamga.llm.langid import fit_text_model, identify_pages
+
+    assert {"op5_language_id", "op5_page_language_id", "page_language_id"} <= set(Q.queries())
+    tags = {r.page_id: re.search(r'<html lang="(\w+)"', r.html)[1] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = Q.queries()["op5_page_language_id"](spark, sf).collect()
+    assert len(got) == len(tags) and sum(r.language == tags[r.page_id] for r in got) > 0.95 * len(got)
+    # the same text at hosts, under suffixes and with markup of two languages
+    said = {"en": "taxi house and the garden of the old man with a dog taxi", "fr": "taxi maison et le jardin du vieil homme avec un chien taxi"}
+    model = fit_text_model(spark.createDataFrame([(x, f"{t} {i}") for x, t in said.items() for i in range(20)], "lang string, text string"), "lang", "text")
+    page = lambda x, t, host, tag: (x, f"http://{host}/1", f"<html{f' lang={tag}' if tag else ''}><p>{t}</p></html>")
+    rows = [page(0, said[x], f"www{k}.{z}", x) for x, z in (("en", "uk"), ("fr", "fr")) for k in range(20)]
+    rows += [page(1, "taxi", "www1.uk", None), page(2, "taxi", "www1.fr", None), page(3, "taxi", "new.uk", None), page(4, "taxi", "new2.fr", None), page(5, "taxi", "x.org", "en"), page(6, "taxi", "x.org", "fr")]
+    found = {r.page_id: r.language for r in identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model, keep=["page_id"]).collect()}
+    assert [found[i] for i in range(1, 7)] == ["en", "fr"] * 3
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     from tamga.llm.langid import fit_text_model, identify
