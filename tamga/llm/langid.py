@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: st
 
 def declared_markup(html: Column) -> Column:
     """The language that a page's <html> tag declares: its primary subtag, lower-cased; null if none."""
-    tag = F.regexp_extract(html, r"(?i)<html[^>]{0,2000}?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
+    tag = F.regexp_extract(html, r"(?i)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
     return F.when(tag != "", F.lower(tag))
 
 

@@ -130,6 +130,13 @@ def test_registered_page_language_id_uses_all_evidence(spark, sf):
     assert [found[i] for i in range(1, 7)] == ["en", "fr"] * 3
 
 
+def test_markup_after_long_attributes(spark):
+    from tamga.llm.langid import declared_markup
+
+    rows = [(f'<html data-x="{"y" * 5000}" lang="de">',), ('<html><p lang="de">',)]
+    assert [r[0] for r in spark.createDataFrame(rows, "html string").select(declared_markup("html")).collect()] == ["de", None]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     from tamga.llm.langid import fit_text_model, identify
