@@ -9,7 +9,8 @@ bad pages, smoothed towards its host's share, which is smoothed towards the shar
 BAD or more are blocked.
 
 The tree works on distinct generalised paths with counts, aggregated map-side, so a host may hold any share of the
-pages. Levels beyond DEPTH are one wildcard tail. Null urls and urls without :// have an empty host and path and
+pages. There is a round for each level at which two
+paths of a host share a branch; finished paths are in no further round. Null urls and urls without :// have an empty host and path and
 are judged as one template; repeated pages count each; pages without label count in no share.
 Rules fit a host and its subdomains when the path starts with the rule's path; the longest wins over the tree.
 """
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from tamga.llm.blocks import Kept, cut
 
-DEPTH = 6
 SIMILAR = 2.0
 WEIGHT = 4.0
 BAD = 0.5
@@ -48,10 +48,9 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def segments_of(path: Column) -> Column:
-    """Segments with variable parts as wildcards; what is deeper than DEPTH is one tail."""
+    """All segments, variable parts as wildcards."""
     form = lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9a-fA-F]*\d[0-9a-fA-F]{7,}", "{id}"), r"\d+", "{n}")
-    parts = F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), form)
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), form)
 
 
 def _unlikeness() -> Column:
@@ -72,17 +71,24 @@ def template_tree(pages: DataFrame) -> DataFrame:
 def _grown(pages: DataFrame, keep: Kept) -> DataFrame:
     bad = F.col("bad")
     tree = pages.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.count(bad).alias("labelled"), F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("bad"))
-    tree = tree.withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):  # a level reads the tree four times, so each starts from a kept one
-        tree = keep(tree).withColumn("child", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
+    tree = keep(tree.withColumn("template", F.lit("")).withColumn("open", F.lit(True)))
+    done, level = [], 0
+    while not tree.where("open").isEmpty():  # a level reads the tree four times, so each starts from a kept one
+        tree = tree.where("open").withColumn("child", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
         sums = [F.sum(c).alias(c) for c in COUNTS]
-        kids = tree.groupBy("host", "template", "child").agg(*sums)
-        own = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.count_if(F.col("labelled") > 0).alias("known"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        kids = tree.groupBy("host", "template", "child").agg(*sums, F.count(F.lit(1)).alias("paths"))
+        own = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.count_if(F.col("labelled") > 0).alias("known"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.sum("paths").alias("all_paths"))
         kids = kids.join(own, ["host", "template"])
         merged = (F.col("kids") > 1) & ((F.col("labelled") == 0) | (_unlikeness() < SIMILAR**2 + 2 * F.log(F.greatest(F.col("known") - 1, F.lit(1)))))
-        kids = kids.select("host", "template", "child", F.when(F.col("child") == "", "").when(merged, "/*").otherwise(F.concat(F.lit("/"), "child")).alias("step"))
-        tree = tree.join(kids, ["host", "template", "child"]).select("host", "segments", *COUNTS, F.concat("template", "step").alias("template"))
-    tree = keep(tree)
+        kids = kids.select("host", "template", "child", F.when(F.col("child") == "", "").when(merged, "/*").otherwise(F.concat(F.lit("/"), "child")).alias("step"), (F.col("all_paths") == 1).alias("alone"))
+        tree = tree.join(kids, ["host", "template", "child"])
+        # a path that shares its branch with no other has no siblings further down
+        rest = F.transform(F.filter(F.slice("segments", level + 2, F.greatest(F.size("segments"), F.lit(1))), lambda s: s != ""), lambda s: F.concat(F.lit("/"), s))
+        rest = F.when(F.col("alone"), F.array_join(rest, "")).otherwise("")
+        tree = keep(tree.select("host", "segments", *COUNTS, F.concat("template", "step", rest).alias("template"), (~F.col("alone") & (F.size("segments") > level)).alias("open")))
+        done.append(f"{keep.folder}/{keep.count}")
+        level += 1
+    tree = (keep.spark.read.schema(tree.schema).parquet(*done) if done else tree).where("not open").drop("open")
     everywhere = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 1.0)).alias("base")).scalar()
     hosts = tree.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     hosts = hosts.select("host", ((F.col("host_bad") + WEIGHT * everywhere) / (F.col("host_labelled") + WEIGHT)).alias("host_share"))

@@ -227,3 +227,16 @@ def test_url_tree_splits_what_differs(spark):
     got = judge_urls(pages, labels, {}).collect()
     assert {(r.template, r.verdict) for r in got if r.page_id < 30} == {("/a/spam/{n}", "block")}
     assert {r.verdict for r in got if r.page_id >= 30} == {"allow"}
+
+
+def test_url_tree_reaches_every_level(spark):
+    from tamga.llm.urls import judge_urls
+
+    top = "http://h.x/" + "/".join("abcdefghijk")
+    urls = [(i, f"{top}/{'spam' if i < 40 else 'news'}/{i}") for i in range(80)] + [(100, "http://g.x/a/b//c/d/e/f/g/h/"), (101, "http://g.x"), (102, "http://g.x/a/7"), (103, "http://g.x/a/b//c/d/e/f/g/i")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in urls if i % 2], "page_id long, bad int")
+    got = {r.page_id: (r.template, r.verdict) for r in judge_urls(pages, labels, {}).collect()}
+    assert len(got) == len(urls)
+    assert got[0] == ("/" + "/".join("abcdefghijk") + "/spam/{n}", "block") and got[40] == ("/" + "/".join("abcdefghijk") + "/news/{n}", "allow")
+    assert judge_urls(pages.limit(0), labels, {}).count() == 0
