@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 16 << 20
+#: The least number of key buckets; there are as many as blocks when these are more.
+BUCKETS = 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -139,6 +141,24 @@ def to_blocks(docs: DataFrame, text: str = "text", limit: int = BLOCK_BYTES) ->
 BLOB = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())])
 
 
+def shares(bounds: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The buckets that have anything, and where it lies: bucket b from bounds[b] to bounds[b + 1]."""
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        yield b, slice(int(bounds[b]), int(bounds[b + 1]))
+
+
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as set it apart from all columns; Spark ignores case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def blob_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     """A batch of BLOB."""
     a, b, c = zip(*rows, strict=True) if rows else ((), (), ())

@@ -27,15 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import BLOB, blob_rows, cut, pack_arrays, release, to_blocks, unpack, unpack_arrays
+from tamga.llm.blocks import BLOB, BUCKETS, blob_rows, cut, pack_arrays, release, shares, to_blocks, unpack, unpack_arrays
 
 DEPTH = 5
 START, END = b"\xfe", b"\xff"
 CHUNK_BYTES = 1 << 20
 #: Texts counted together; their distinct grams and words are held at once.
 BLOCK_BYTES = 10 << 20
-#: Bounds of the number of key buckets; it follows the number of blocks.
-BUCKETS = 64, 4096
 FOLDS, HELD_OUT = 7, 2
 _HALF = float(np.log(0.5))
 
@@ -106,9 +104,9 @@ class _Summary:
         self.words: Counter = Counter()
         for t, learn in zip(texts, train, strict=True):
             self.words.update(t.lower().split() if learn else dict.fromkeys(t.lower().split(), 0))
-        self.dealt: list[list[bytes]] = [[] for _ in range(buckets)]
+        self.dealt: dict[int, list[bytes]] = {}
         for w in self.words:
-            self.dealt[zlib.crc32(w) % buckets].append(w)
+            self.dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
 
     def grams(self, bucket: int) -> np.ndarray:
         return self.order[self.starts[bucket] : self.starts[bucket + 1]]
@@ -246,7 +244,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     blocks = to_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), limit=BLOCK_BYTES)
-    buckets = min(max(blocks.count(), BUCKETS[0]), BUCKETS[1])
+    buckets = max(blocks.count(), BUCKETS)
 
     def texts_of(payload: bytes) -> tuple[pa.Array, list[bytes], list[bool]]:
         table = unpack(payload)
@@ -258,12 +256,11 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 _, texts, train = texts_of(payload.as_py())
                 own = _Summary(texts, train, buckets)
-                for b in range(buckets):
-                    at, words = own.grams(b), own.dealt[b]
-                    if len(at):
-                        yield blob_rows([(block, b, pack_arrays(own.keys[at], own.counts[at]))])
-                    if words:
-                        yield blob_rows([(block, buckets + b, _word_blob(words, [own.words[w] for w in words]))])
+                for b, s in shares(own.starts):
+                    at = own.order[s]
+                    yield blob_rows([(block, b, pack_arrays(own.keys[at], own.counts[at]))])
+                for b, words in own.dealt.items():
+                    yield blob_rows([(block, buckets + b, _word_blob(words, [own.words[w] for w in words]))])
                 yield blob_rows([(block, 2 * buckets, _word_blob([], [sum(train)]))])
 
     stats = cut(blocks.mapInArrow(count, BLOB))

@@ -5,9 +5,9 @@ documents hold the shingle. Two sets with a Jaccard similarity of THRESHOLD shar
 n - ceil(THRESHOLD * n) + 1 of each, so documents meet at the shingles of these prefixes that another document holds.
 
 First each meeting group has one pivot, its least row, which the others are compared with; most copies are connected
-by that. Groups whose other members are still apart are joined by all they share: rows that meet in any of them form a
-family, and the parts of a family meet two by two. Everywhere the ordered sets of one side (pivots, or a part) are
-stored in a radix trie, and a probe walks it with the overlap so far, shared by all sets below an edge, and leaves a
+by that. The members of groups that are still apart are compared within their group, groups of the same members as
+one. Of a large group only sets of like size meet, and those in parts, two by two. Everywhere the ordered sets of one
+side (pivots, or a part) are stored in a radix trie, and a probe walks it with the overlap so far, shared by all sets below an edge, and leaves a
 subtree when the overlap and what remains on either side can't reach the least overlap that any set below needs. Rows
 that are connected already, directly or through others, aren't compared again, so no link between components is lost.
 
@@ -24,17 +24,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import BLOB, FORGET, Kept, blob_rows, cut, pack_arrays, tidy, to_blocks, unpack, unpack_arrays
+from tamga.llm.blocks import BLOB, BUCKETS, FORGET, Kept, blob_rows, cut, pack_arrays, shares, tidy, to_blocks, unpack, unpack_arrays
 
 WORDS = 5
 #: The least similarity, as a fraction of whole numbers.
 LEAST = 4, 5
-BUCKETS = 64, 4096
-#: Rows of a family that one task stores in its trie.
+#: Rows of a meeting group that one trie stores.
 PART_ROWS = 512
+#: Sets that link lie in one class of sizes or in neighbouring ones, as this is more than 1 / THRESHOLD.
+CLASS = 1.26
+#: A row's number has a partition of PARTITION_BITS, a block there of BLOCK_BITS and a place there of PLACE_BITS.
+PARTITION_BITS, BLOCK_BITS, PLACE_BITS = 20, 21, 22
 REMEMBERED = 150_000
 BLOCK_BYTES = 8 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -76,19 +79,22 @@ def shingles(text: str | None) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
-def _row_of(block: int) -> int:
-    """The number of a block's first document: 22 bits for those in a block, 12 for the blocks of a partition."""
-    return (block >> 32) << 34 | (block & 0xFFF) << 22
+def _row_of(block: int, rows: int = 0) -> int:
+    """The number of a block's first document; rows: how many the block has. Raises where a field is too small."""
+    partition, place = block >> 32, block & 0xFFFFFFFF
+    if partition >> PARTITION_BITS or place >> BLOCK_BITS or rows >> PLACE_BITS:
+        raise ValueError(f"partition {partition}, block {place} there or {rows} rows in it: more than a row number can tell apart")
+    return (partition << BLOCK_BITS | place) << PLACE_BITS
 
 
 def _block_of(row: F.Column) -> F.Column:
-    return F.shiftleft(F.shiftright(row, 34), 32).bitwiseOR(F.shiftright(row, 22).bitwiseAND(F.lit(0xFFF)))
+    return F.shiftleft(F.shiftright(row, BLOCK_BITS + PLACE_BITS), 32).bitwiseOR(F.shiftright(row, PLACE_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)))
 
 
-def _seen(h32: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h32 = np.sort(h32)
-    first = np.flatnonzero(np.concatenate([[True], h32[1:] != h32[:-1]])) if len(h32) else np.zeros(0, np.int64)
-    return h32[first], np.diff(np.append(first, len(h32)))
+def _seen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _rarity(documents: np.ndarray) -> np.ndarray:
@@ -199,14 +205,20 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
     count = blocks.count()
-    buckets = min(max(count, BUCKETS[0]), BUCKETS[1])
+    buckets = max(count, BUCKETS)
+    # documents are counted by so many bits of a shingle's hash: some 64 slots for each shingle at any number of blocks
+    bits = min(64, max(32, 25 + count.bit_length()))
+
+    def keys_of(s: np.ndarray) -> np.ndarray:
+        return s >> np.uint64(64 - bits)
 
     def sets_of(payload: bytes) -> tuple[pa.Array, list[np.ndarray]]:
         table = unpack(payload)
         return table[doc_id].combine_chunks(), [shingles(t) for t in table[text].to_pylist()]
 
-    def bounds(h32: np.ndarray) -> np.ndarray:
-        return np.searchsorted(h32, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
+    def bounds(keys: np.ndarray) -> np.ndarray:
+        width = np.uint64((1 << bits) // buckets)  # what is over goes to the last one
+        return np.append(np.searchsorted(keys, np.arange(buckets, dtype=np.uint64) * width), len(keys))
 
     def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,12 +230,10 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
                 with pa.ipc.new_stream(sink, facts.schema) as out:
                     out.write_batch(facts)
                 yield blob_rows([(block, -1, sink.getvalue().to_pybytes())])
-                h32, n = _seen((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32))
-                at = bounds(h32)
-                for b in range(buckets):
-                    if at[b] < at[b + 1]:
-                        yield blob_rows([(block, b, pack_arrays(h32[at[b] : at[b + 1]], n[at[b] : at[b + 1]].astype(np.uint32)))])
-                del sets, h32, n
+                keys, n = _seen(keys_of(np.concatenate(sets)))
+                for b, s in shares(bounds(keys)):
+                    yield blob_rows([(block, b, pack_arrays(keys[s], n[s].astype(np.uint32)))])
+                del sets, keys, n
                 tidy("ngram_join")
 
     stats = cut(blocks.mapInArrow(first_pass, BLOB))
@@ -232,7 +242,7 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 table = unpack(blob.as_py()).combine_chunks()
-                row = pa.array(_row_of(block) + np.arange(len(table)), pa.int64())
+                row = pa.array(_row_of(block, len(table)) + np.arange(len(table)), pa.int64())
                 yield pa.RecordBatch.from_arrays([row, *(table[c].combine_chunks() for c in ("doc_id", "n", "digest"))], ["row", "doc_id", "n", "digest"])
 
     facts = cut(stats.where("bucket = -1").mapInArrow(rows_of, f"row long, doc_id {kind}, n long, digest binary"))
@@ -249,42 +259,38 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
         rows = [(b, bucket, pack_arrays(rarity[np.searchsorted(keys, k)].view(np.int8))) for b, (k, _) in zip(table["block"].to_pylist(), parts, strict=True)]
         return pa.Table.from_batches([blob_rows(rows)])
 
-    def head_lists(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        rows = np.sort(np.array(table["head"].to_pylist(), np.int64)) - _row_of(block)
-        return pa.Table.from_batches([blob_rows([(block, -1, pack_arrays(rows))])])
-
     def second_pass(left: pa.Table, right: pa.Table) -> pa.Table:
         """Of the representatives: the set, ordered, of shingles that other documents hold, and how many lie in the prefix."""
         block = left["block"][0].as_py()
         replies = dict(zip(right["bucket"].to_pylist(), right["blob"].to_pylist(), strict=True))
+        own = sorted(row for rows in right["heads"].to_pylist() for row in rows or ())
         out = {"row": [], "n": [], "shared": [], "meets": []}
-        if -1 in replies:
-            (own,) = unpack_arrays(replies.pop(-1))
+        if own:
+            del replies[-1]
             _, sets = sets_of(left["payload"][0].as_py())
-            h32, _ = _seen((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32))
+            keys, _ = _seen(keys_of(np.concatenate(sets)))
             rarity = np.concatenate([unpack_arrays(replies[b])[0] for b in sorted(replies)]).view(np.uint8)
-            for i in own.tolist():
-                s = sets[i]
-                rare = rarity[np.searchsorted(h32, (s >> np.uint64(32)).astype(np.uint32))]
+            for row in own:
+                s = sets[row - _row_of(block)]
+                rare = rarity[np.searchsorted(keys, keys_of(s))]
                 alone = int(np.count_nonzero(rare < 2))
                 meets = _prefix(len(s)) - alone
                 if meets > 0 and alone < len(s):
                     shared = s[rare >= 2]
                     # the rarity takes the place of the top byte, so that numbers ascend in the global order
                     tokens = np.sort(rare[rare >= 2].astype(np.uint64) << np.uint64(56) | shared >> np.uint64(8))
-                    out["row"].append(_row_of(block) + i)
+                    out["row"].append(row)
                     out["n"].append(len(s))
                     out["shared"].append(tokens.tobytes())
                     out["meets"].append(min(meets, len(tokens)))
-            del sets, h32, rarity
+            del sets, keys, rarity
             tidy("ngram_join")
         kinds = {"row": pa.int64(), "n": pa.int32(), "shared": pa.binary(), "meets": pa.int32()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     asked = stats.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, BLOB)
-    own = heads.withColumn("block", _block_of(F.col("head"))).select("block", "head").groupBy("block").applyInArrow(head_lists, BLOB)
-    sets = blocks.groupBy("block").cogroup(asked.unionByName(own).groupBy("block")).applyInArrow(second_pass, "row long, n int, shared binary, meets int")
+    own = heads.groupBy(_block_of(F.col("head")).alias("block")).agg(F.collect_list("head").alias("heads")).withColumn("bucket", F.lit(-1))
+    sets = blocks.groupBy("block").cogroup(asked.unionByName(own, allowMissingColumns=True).groupBy("block")).applyInArrow(second_pass, "row long, n int, shared binary, meets int")
     links = _links(sets, count)
     labels = _components(links)
     reached = facts.where("n > 0").join(heads, ["digest", "n"]).select("row", "doc_id", "n", "head")
@@ -320,30 +326,52 @@ def _joined(sets: DataFrame, count: int, keep: Kept) -> DataFrame:
     # a group's pivot has met all the others; these are compared unless they are one component by now
     rest = rows.join(pivots.select("token", F.col("pivot").alias("row")), ["token", "row"], "left_anti")
     rest = rest.join(labels, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    apart = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("row").alias("first")).where("low < high").select("token", "first")
-    rest = keep(rest.join(apart, "token").select("row", "component", "first").distinct())
-    families = _spread(rest.select(F.col("row").alias("a"), F.col("first").alias("b")), keep).toDF("row", "family")
-    members = keep(rest.select("row", "component").distinct().join(families, "row").join(sets.select("row", "n", "shared"), "row"))
-    return near.unionByName(_far(members))
-
-
-def _far(members: DataFrame) -> DataFrame:
-    """The links between components in each family of rows that may meet, as (a, b), by trie joins of its parts."""
-    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    dealt = members.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    # each part meets each: a row goes to as many places as its family has parts
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("row", "n", "shared", "component", "family", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-
-    def join(table: pa.Table) -> pa.Table:
-        part, i, j = (table[c].to_numpy() for c in ("part", "i", "j"))
+    # tokens with the same members, told by two sums of their hashes, are one meeting
+    members = [F.count(F.lit(1)).alias("members"), *(F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in range(2))]
+    apart = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *members).where("low < high")
+    apart = apart.groupBy("members", "h0", "h1").agg(F.min("token").alias("token")).select("token", "members")
+    met = keep(rest.join(apart, "token").select("token", "row", "n", "component", "members"))
+    return near.unionByName(_far(met, sets))
+
+
+def _far(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links between components in each meeting, as (a, b), by trie joins. met: (token, row, n, component, members).
+
+    A small meeting is one cell, of which each row meets each. In a large one rows meet those of their class of sizes
+    and of the next, in cells of a part of either.
+    """
+    met = met.withColumn("class", F.when(F.col("members") <= PART_ROWS, F.lit(0)).otherwise(F.floor(F.log("n") / F.log(F.lit(CLASS)))).cast("int"))
+    line = Window.partitionBy("token").orderBy("class")  # a row for each class of sizes
+    sizes = met.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    beside = lambda f, step: F.when(f("class").over(line) == F.col("class") + step, f("parts").over(line)).otherwise(0)
+    sizes = sizes.select("token", "class", "parts", beside(F.lead, 1).alias("up"), beside(F.lag, -1).alias("down"))
+    dealt = met.join(sizes, ["token", "class"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+
+    def cells(parts: str, cell) -> F.Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.col(parts) - 1, F.lit(0))), lambda o: o < F.col(parts)), cell)
+
+    def cell(low: F.Column, step: int, i: F.Column, j: F.Column, probes: F.Column) -> F.Column:
+        return F.struct(low.alias("low"), F.lit(step).alias("step"), i.alias("i"), j.alias("j"), probes.alias("probes"))
+
+    own, part = F.col("class"), F.col("part")
+    every = F.concat(
+        cells("parts", lambda o: cell(own, 0, F.least(part, o), F.greatest(part, o), part > o)),
+        cells("up", lambda o: cell(own, 1, part, o, F.lit(False))),
+        cells("down", lambda o: cell(own - 1, 1, o, part, F.lit(True))),
+    )
+    key = ["token", "low", "step", "i", "j"]
+    placed = dealt.select("token", "row", "component", F.explode(every).alias("cell")).select("token", "cell.*", "row", "component")
+    placed = placed.join(sets.select("row", "n", "shared"), "row").repartition(*key).sortWithinPartitions(*key)
+
+    def join(table: pa.Table) -> list[tuple[int, int]]:
         rows, sizes = table["row"].to_numpy(), table["n"].to_numpy().astype(np.int64)
         names, component = np.unique(table["component"].to_numpy(), return_inverse=True)
         root = np.arange(len(names))
         sets = [np.frombuffer(s.as_py(), np.uint64) for s in table["shared"]]
-        one = i[0] == j[0]
-        stored = np.arange(len(rows)) if one else np.flatnonzero(part == i[0])
-        probing = stored if one else np.flatnonzero(part == j[0])
+        one = table["step"][0].as_py() == 0 and table["i"][0] == table["j"][0]
+        probes = table["probes"].to_numpy(zero_copy_only=False)
+        stored = np.arange(len(rows)) if one else np.flatnonzero(~probes)
+        probing = stored if one else np.flatnonzero(probes)
         links: list[tuple[int, int]] = []
         if len(stored) and len(probing):
             trie = Trie([sets[k] for k in stored], sizes[stored].tolist())
@@ -358,9 +386,36 @@ def _far(members: DataFrame) -> DataFrame:
                     if old != new:
                         root[root == old] = new
                         links.append((int(rows[x]), int(rows[stored[k]])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return met.groupBy("family", "i", "j").applyInArrow(join, "a long, b long")
+        return links
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in _runs(batches, key):
+            links = join(one)
+            if links:
+                yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def _runs(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches in its order."""
+    waiting: list[pa.RecordBatch] = []
+    before = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in key]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        at = [0, *new.tolist(), len(batch)]
+        for start, end in zip(at[:-1], at[1:], strict=True):
+            own = tuple(int(c[start]) for c in columns)
+            if waiting and own != before:
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            before = own
+            waiting.append(batch.slice(start, end - start))
+    if waiting:
+        yield pa.Table.from_batches(waiting)
 
 
 def _probed(sets: DataFrame, asked: DataFrame, groups: int) -> DataFrame:

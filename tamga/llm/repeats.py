@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import BLOB, blob_rows, cut, pack_arrays, release, to_blocks, unpack, unpack_arrays
+from tamga.llm.blocks import BLOB, BUCKETS, blob_rows, cut, pack_arrays, release, shares, to_blocks, unpack, unpack_arrays
 
 WIDTH = 400
 ANCHOR = 32
 CHUNK_BYTES = 1 << 20
 PART_BYTES = 48 << 20
-BUCKETS = 64, 4096
 #: Columns of a piece relative to its anchor: windows start in the first _STARTS of them.
 _STARTS = WIDTH - ANCHOR + 1
 _COLUMNS = _STARTS + WIDTH - 1
@@ -42,12 +41,13 @@ _COLUMNS = _STARTS + WIDTH - 1
 ALONE, WHOLE, OTHERS, BOTH = 0, 1, 2, 3
 _PAD = 0xFF  # never in UTF-8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIXER = np.uint64(0xBF58476D1CE4E5B9)
 _BYTE = np.random.default_rng(400).integers(1 << 62, size=256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(29)) * _MIXER
     return x ^ x >> np.uint64(32)
 
 
@@ -74,7 +74,7 @@ class Pieces:
             return
         h = _BYTE[a]
         for step, factor in ((1, 3), (2, 5), (4, 7), (8, 11), (16, 13)):
-            h = h[:-step] * (_ODD * np.uint64(factor)) + _mix(h[step:])
+            h = h[:-step] * np.uint64(int(_ODD) * factor % (1 << 64)) + _mix(h[step:])
         # the high bits of the hash decide, then the place: the first of equal strings
         key = _mix(h) >> np.uint64(32) << np.uint64(32) | np.arange(len(h), dtype=np.uint64)
         least, span = key, 1
@@ -197,14 +197,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     blocks = to_blocks(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    buckets = min(max(blocks.count(), BUCKETS[0]), BUCKETS[1])
+    buckets = max(blocks.count(), BUCKETS)
 
     def texts_of(payload: bytes) -> tuple[pa.Array, list[bytes]]:
         table = unpack(payload)
         return table["doc_id"].combine_chunks(), [(t or "").encode() for t in table["text"].to_pylist()]
 
     def bucket_bounds(hashes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(hashes, np.array([b * (1 << 64) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(hashes)]
+        width = np.uint64((1 << 64) // buckets)  # what is over goes to the last one
+        return np.append(np.searchsorted(hashes, np.arange(buckets, dtype=np.uint64) * width), len(hashes))
 
     def announced(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = [Pieces(texts[a:b]) for a, b in _chunks(texts)]
@@ -216,10 +217,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x, y, n = announced(texts_of(payload.as_py())[1])
                 at = bucket_bounds(x)
-                for b in range(buckets):
-                    s = slice(at[b], at[b + 1])
-                    if at[b] < at[b + 1]:
-                        yield blob_rows([(block, b, pack_arrays(x[s], y[s], np.minimum(n[s], 2).astype(np.uint8)))])
+                for b, s in shares(at):
+                    yield blob_rows([(block, b, pack_arrays(x[s], y[s], np.minimum(n[s], 2).astype(np.uint8)))])
 
     stats = cut(blocks.mapInArrow(announce, BLOB))
 
@@ -277,10 +276,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             body = [body[i] for i in order.tolist()]
             before, tail = np.array(before, np.int32)[order], np.array(tail, np.int32)[order]
             at = np.searchsorted(place, bucket_bounds(x))
-            for b in range(buckets):
-                s = slice(at[b], at[b + 1])
-                if at[b] < at[b + 1]:
-                    out.append((block, b, pack_arrays(x[place[s]], before[s], tail[s], np.concatenate(body[s]))))
+            for b, s in shares(at):
+                out.append((block, b, pack_arrays(x[place[s]], before[s], tail[s], np.concatenate(body[s]))))
         return pa.Table.from_batches([blob_rows(out)])
 
     def construct(table: pa.Table) -> pa.Table:

@@ -71,6 +71,55 @@ def test_ngram_join(spark, rows):
     assert got == want
 
 
+def test_ngram_join_tells_apart_many_blocks_of_a_partition(spark, monkeypatch):
+    from tamga.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 1)  # a block for each row
+    n = 5000
+    from pyspark.sql import functions as F
+
+    unlike = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.concat(F.lit("w"), F.col("id"), F.lit("x"), k)), " ")
+    docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") == n - 1, F.concat(F.lit("same "), F.lit("a b c d e f"))).when(F.col("id") == 7, F.lit("same a b c d e f")).otherwise(unlike).alias("text"))
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(docs).collect()}
+    assert got == {i: 7 if i == n - 1 else i for i in range(n)}
+    assert ngram_join.deduplicate(docs).count() == n - 1
+    with pytest.raises(ValueError):
+        ngram_join._row_of(1 << ngram_join.BLOCK_BITS)
+
+
+@pytest.mark.parametrize("part_rows", [2, 7])
+def test_ngram_join_of_large_meetings(spark, monkeypatch, part_rows):
+    """Many sets of several sizes share rare shingles without being alike, and some links lie between two of them."""
+    from tamga.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "PART_ROWS", part_rows)
+    rng = random.Random(part_rows)
+    common = [f"c{i}" for i in range(12)]
+    data = []
+    for k in range(60):
+        size = rng.choice([6, 8, 10, 14, 18, 30])
+        own = [f"o{k}x{i}" for i in range(size)]
+        if data and rng.random() < 0.4:  # like an earlier one but for the last word or two
+            own = rng.choice(data)[1].split()[len(common) :]
+            own = own[: len(own) - rng.choice([0, 1, 2])] + [f"n{k}"] * rng.choice([0, 1])
+        data.append((k, " ".join(common + own)))
+    sets = [shingle_set(t) for _, t in data]
+    up = list(range(len(data)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in range(len(data))}
+
+
 def test_deduplicate_keeps_one_of_each(spark, rows):
     from tamga.llm.ngram_join import deduplicate, near_components
 
