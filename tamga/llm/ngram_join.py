@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import BLOB, BUCKETS, FORGET, Kept, blob_rows, cut, pack_arrays, shares, tidy, to_blocks, unpack, unpack_arrays
+from tamga.llm.blocks import BLOB, BUCKETS, FORGET, Kept, blob_rows, cut, pack_arrays, release, shares, tidy, to_blocks, unpack, unpack_arrays
 
 WORDS = 5
 #: The least similarity, as a fraction of whole numbers.
@@ -291,7 +291,11 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
     asked = stats.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, BLOB)
     own = heads.groupBy(_block_of(F.col("head")).alias("block")).agg(F.collect_list("head").alias("heads")).withColumn("bucket", F.lit(-1))
     sets = blocks.groupBy("block").cogroup(asked.unionByName(own, allowMissingColumns=True).groupBy("block")).applyInArrow(second_pass, "row long, n int, shared binary, meets int")
-    links = _links(sets, count)
+    with Kept(blocks.sparkSession) as keep:
+        sets = keep(sets)
+        del stats, asked, own  # their files may go
+        release(blocks.sparkSession)
+        links = cut(_joined(sets, count, keep))
     labels = _components(links)
     reached = facts.where("n > 0").join(heads, ["digest", "n"]).select("row", "doc_id", "n", "head")
     reached = reached.join(labels.toDF("head", "component"), "head", "left").withColumn("component", F.coalesce("component", "head"))
@@ -302,13 +306,9 @@ def _near(blocks: DataFrame, kind: str, doc_id: str, text: str) -> DataFrame:
     return linked.unionByName(alone)
 
 
-def _links(sets: DataFrame, count: int) -> DataFrame:
+def _joined(sets: DataFrame, count: int, keep: Kept) -> DataFrame:
     """(a, b): links that connect all that is linked. sets: (row, n, shared, meets)."""
-    with Kept(sets.sparkSession) as keep:
-        return cut(_joined(keep(sets), count, keep))
-
 
-def _joined(sets: DataFrame, count: int, keep: Kept) -> DataFrame:
     def meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, meets = batch.column(0).to_numpy(), batch.column(3).to_numpy()
@@ -337,14 +337,17 @@ def _joined(sets: DataFrame, count: int, keep: Kept) -> DataFrame:
 def _far(met: DataFrame, sets: DataFrame) -> DataFrame:
     """The links between components in each meeting, as (a, b), by trie joins. met: (token, row, n, component, members).
 
-    A small meeting is one cell, of which each row meets each. In a large one rows meet those of their class of sizes
-    and of the next, in cells of a part of either.
+    Rows may link with those of their class of sizes and of the two beside it; where these are all one component, none
+    is compared. A small meeting is one cell, of which each row meets each; in a large one there is a cell for each two
+    parts of a class, or of neighbouring classes.
     """
-    met = met.withColumn("class", F.when(F.col("members") <= PART_ROWS, F.lit(0)).otherwise(F.floor(F.log("n") / F.log(F.lit(CLASS)))).cast("int"))
+    met = met.withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int"))
     line = Window.partitionBy("token").orderBy("class")  # a row for each class of sizes
-    sizes = met.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    beside = lambda f, step: F.when(f("class").over(line) == F.col("class") + step, f("parts").over(line)).otherwise(0)
-    sizes = sizes.select("token", "class", "parts", beside(F.lead, 1).alias("up"), beside(F.lag, -1).alias("down"))
+    sizes = met.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"), F.min("component").alias("least"), F.max("component").alias("most"))
+    beside = lambda f, step, column: F.when(f("class").over(line) == F.col("class") + step, f(column).over(line))
+    around = lambda column, pick: pick(F.col(column), beside(F.lead, 1, column), beside(F.lag, -1, column))
+    parts = [F.coalesce(beside(*x, "parts"), F.lit(0)).alias(name) for name, x in (("up", (F.lead, 1)), ("down", (F.lag, -1)))]
+    sizes = sizes.select("token", "class", "parts", *parts, (around("least", F.least) < around("most", F.greatest)).alias("several")).where("several")
     dealt = met.join(sizes, ["token", "class"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
 
     def cells(parts: str, cell) -> F.Column:
@@ -354,13 +357,14 @@ def _far(met: DataFrame, sets: DataFrame) -> DataFrame:
         return F.struct(low.alias("low"), F.lit(step).alias("step"), i.alias("i"), j.alias("j"), probes.alias("probes"))
 
     own, part = F.col("class"), F.col("part")
-    every = F.concat(
+    whole = F.array(cell(F.lit(0), 0, F.lit(0), F.lit(0), F.lit(False)))
+    split = F.concat(
         cells("parts", lambda o: cell(own, 0, F.least(part, o), F.greatest(part, o), part > o)),
         cells("up", lambda o: cell(own, 1, part, o, F.lit(False))),
         cells("down", lambda o: cell(own - 1, 1, o, part, F.lit(True))),
     )
     key = ["token", "low", "step", "i", "j"]
-    placed = dealt.select("token", "row", "component", F.explode(every).alias("cell")).select("token", "cell.*", "row", "component")
+    placed = dealt.select("token", "row", "component", F.explode(F.when(F.col("members") <= PART_ROWS, whole).otherwise(split)).alias("cell")).select("token", "cell.*", "row", "component")
     placed = placed.join(sets.select("row", "n", "shared"), "row").repartition(*key).sortWithinPartitions(*key)
 
     def join(table: pa.Table) -> list[tuple[int, int]]:
