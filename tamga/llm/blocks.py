@@ -18,7 +18,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 16 << 20
@@ -159,6 +160,17 @@ def free(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def renamed(columns: Iterable[str]) -> tuple[list[Column], list[str], list[Column]]:
+    """Columns under names of digits, which no operator uses for its own; these names; and the columns' names again."""
+    columns = list(columns)
+    names = [f"_{i}" for i in range(len(columns))]
+    return [F.col(quoted(c)).alias(n) for c, n in zip(columns, names, strict=True)], names, [F.col(n).alias(c) for c, n in zip(columns, names, strict=True)]
+
+
 def blob_rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     """A batch of BLOB."""
     a, b, c = zip(*rows, strict=True) if rows else ((), (), ())

@@ -8,8 +8,8 @@ can't be of equal rank. Such triples are listed when the model is built; a piece
 plain loop.
 
 Null texts are empty; an empty text has no ids. Very long texts are whole: only their pieces are looked up.
-Repeated rows give repeated results. Other columns pass through; a column that is named like an added one is an
-error of the caller and is replaced.
+Repeated rows give repeated results, an empty table an empty one. Other columns pass through, of any name; columns
+called ids, spans or decoded are replaced where these are made.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import FORGET, slices, tidy
+from tamga.llm.blocks import FORGET, free, quoted, slices, tidy
 
 #: Pieces whose ids a worker remembers; more are looked up again, nothing is dropped.
 REMEMBERED = 300_000
@@ -121,10 +121,10 @@ class ByteBpe:
 
     def offsets(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
         """For each id the code points it touches (start, end); ids that share a character share its span."""
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids])
+        ends = np.cumsum([0, *(len(self.bytes_of[i]) for i in ids)])
         first = np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80
         char_of = np.cumsum(first) - 1
-        return [(int(char_of[a]), int(char_of[b - 1]) + 1) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return [(int(char_of[a]), int(char_of[b - 1]) + 1) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 @lru_cache(2)
@@ -140,14 +140,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     also decoded binary, the ids turned back to bytes."""
     added = ["ids", *["spans"] * offsets, *["decoded"] * decoded]
     rest = [c for c in docs.columns if c not in added]
-    docs = docs.select(*rest, F.col(text).alias("_text_"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "ids array<int>", *["spans array<struct<start:int,end:int>>"] * offsets, *["decoded binary"] * decoded])
+    (body,) = free(rest, "_text_")
+    docs = docs.select(*map(quoted, rest), F.col(text).alias(body))
+    schema = ", ".join([*(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in rest), "ids array<int>", *["spans array<struct<start:int,end:int>>"] * offsets, *["decoded binary"] * decoded])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy("bpe")
         model = bpe(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch, SLICE_BYTES, "_text_"):
+            for part in slices(batch, SLICE_BYTES, body):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 ids = model.encode_batch(texts)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
@@ -166,7 +167,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """encoded with decoded binary. Null ids give no bytes."""
     rest = [c for c in encoded.columns if c != "decoded"]
-    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in rest), "decoded binary"])
+    schema = ", ".join([*(f"{quoted(c)} {encoded.schema[c].dataType.simpleString()}" for c in rest), "decoded binary"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe(ranks_path, pattern)
@@ -174,4 +175,4 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids")
             lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model.decode(i or ()) for i in lists], pa.binary())], [*rest, "decoded"])
 
-    return encoded.select(*rest).mapInArrow(run, schema)
+    return encoded.select(*map(quoted, rest)).mapInArrow(run, schema)

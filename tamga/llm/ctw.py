@@ -13,7 +13,8 @@ block; only depths 0 and 1, of 65,536 nodes at most, are shared by all.
 
 Texts end with a byte that UTF-8 never has, and start after another; it makes the scores of all texts sum to one.
 Null texts are empty: one end is scored. A null id counts as the empty text for the fold. Repeated rows count each.
-Without training rows each bit costs one bit.
+Without training rows each bit costs one bit. An empty table gives an empty one. Texts are scored whole: a very long one
+is a block of its own. Other columns, of any name, are not read.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ The band's lower end is a share of all documents, so the lexicon has at most (me
 terms at any corpus size; that is what makes it fit to be sent to every task. Few lexicon terms say little about a
 text, so a seed sees all terms of a text that holds fewer lexicon terms than the seed asks for: LEAST for the first,
 LEAST_STEP more for each next, so that an edit which crosses one bound changes the parts of that seed only. A text
-that no subset has terms of is hashed by all its terms as a whole. Equal texts have equal fingerprints. Null texts are empty. Rows with equal ids are
-ordered by their texts' hashes; null ids come first.
+that no subset has terms of is hashed by all its terms as a whole. Equal texts have equal fingerprints. Null texts are
+empty. Ids are of any type that sorts; rows with equal ids are ordered by their texts' hashes, null ids come first. An
+empty table gives an empty one. Texts are whole, of any length. Other columns pass through `fingerprints`, of any name,
+but for one called fingerprint, and aren't read by `edited_fingerprints`.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import cut
+from tamga.llm.blocks import cut, free, renamed
 
 #: The band, as shares of documents that hold a term.
 RAREST, COMMONEST = 0.001, 0.2
@@ -30,8 +32,8 @@ LEVELS, SEEDS = 5, 6
 LEAST, LEAST_STEP = 4, 2
 #: Slots of the lexicon's hash table.
 SLOTS = 1 << 14
-#: Documents sorted together, and the most ranges of ids.
-RANGE_ROWS, RANGES = 4096, 4096
+#: Documents sorted together, about.
+RANGE_ROWS = 16384
 _EMPTY = "cast(array() as array<bigint>)"
 
 
@@ -113,33 +115,40 @@ def shown(parts: str) -> Column:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with fingerprint."""
+    """docs with fingerprint, in the place of such a column."""
     slots = lexicon(docs, text).scalar()
-    return with_parts(docs, F.col(text), slots, "_parts").withColumn("fingerprint", shown("_parts")).drop("_parts")
+    carried, names, restored = renamed(c for c in docs.columns if c != "fingerprint")
+    parts = with_parts(docs.select(*carried, F.col(text).alias("_text")), F.col("_text"), slots, "_parts")
+    return parts.select(*restored, shown("_parts").alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, doc_id: str, carried: list[str], order: Column) -> DataFrame:
     """docs with next_<column> of the next row by id (of the last: the first), without sorting all rows in one place.
 
-    Ids are dealt to ranges of equal width; the first row of each range also goes to the range before it.
+    Rows are dealt to ranges of their ids, of any type; rows of equal id by their order. The bounds come from the rows
+    themselves, one for some RANGE_ROWS rows, and are the only thing all tasks get. The first row of each range also
+    goes to the range before it.
     """
-    facts = docs.agg(F.count(F.lit(1)).alias("n"), F.min(doc_id).alias("low"), F.max(doc_id).alias("high")).first()
-    ranges = max(1, min(RANGES, facts.n // RANGE_ROWS))
-    low, high = facts.low or 0, facts.high or 0
-    width = (high - low) // ranges + 1
-    number = F.coalesce(F.floor((F.col(doc_id) - low) / width), F.lit(-1)).cast("int")
-    keyed = docs.withColumn("_range", number).withColumn("_order", F.struct(F.col(doc_id).isNotNull().alias("a"), F.col(doc_id).alias("b"), order.alias("c")))
-    firsts = keyed.groupBy("_range").agg(F.min("_order").alias("_first"))  # a row for each range
-    ring = Window.partitionBy(F.lit(0)).orderBy("_range")
-    whole = Window.partitionBy(F.lit(0))
-    firsts = firsts.select("_range", "_first", F.coalesce(F.lag("_range").over(ring), F.max("_range").over(whole)).alias("_before"))
-    marked = keyed.join(F.broadcast(firsts), "_range")  # RANGES + 1 rows at most
-    own = F.struct(F.col("_range").alias("range"), F.lit(0).alias("ghost"))
-    ghost = F.struct(F.col("_before").alias("range"), F.lit(1).alias("ghost"))
-    dealt = marked.withColumn("_at", F.explode(F.when(F.col("_order") == F.col("_first"), F.array(own, ghost)).otherwise(F.array(own))))
-    line = Window.partitionBy("_at.range").orderBy("_at.ghost", "_order")
+    ranges = docs.count() // RANGE_ROWS + 1
+    bounds, key, at = free(docs.columns, "_bounds", "_key", "_at")
+    keyed = docs.withColumn(key, F.struct(F.col(doc_id).isNotNull().alias("a"), F.col(doc_id).alias("b"), order.alias("c")))
+    firsts = keyed.select(F.col(key).alias("k")).repartitionByRange(ranges, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k"))
+    firsts = firsts.agg(F.array_sort(F.collect_list("k")).alias("k"))
+    # in rows of `wide`, so that a row's range is found by its row, then its place there
+    wide = math.isqrt(ranges) + 1
+    rows = F.transform(F.filter(F.sequence(F.lit(0), F.lit(wide)), lambda i: i * wide < F.size("k")), lambda i: F.slice("k", i * wide + 1, F.lit(wide)))
+    table = cut(firsts.select(F.struct(rows.alias("rows"), F.size("k").alias("n")).alias("bounds"))).scalar()
+    marked = keyed.select(*docs.columns, key, table.alias(bounds))
+    among = F.size(F.filter(F.transform(F.col(bounds)["rows"], lambda r: r[0]), lambda first: first <= F.col(key)))
+    own = F.element_at(F.col(bounds)["rows"], among)
+    place = F.size(F.filter(own, lambda first: first <= F.col(key)))
+    number = (among - 1) * wide + place
+    here = F.struct(number.alias("range"), F.lit(0).alias("ghost"))
+    before = F.struct(F.when(number == 1, F.col(bounds)["n"]).otherwise(number - 1).alias("range"), F.lit(1).alias("ghost"))
+    dealt = marked.select(*docs.columns, key, F.explode(F.when(F.element_at(own, place) == F.col(key), F.array(here, before)).otherwise(F.array(here))).alias(at))
+    line = Window.partitionBy(F.col(at)["range"]).orderBy(F.col(at)["ghost"], F.col(key))
     moved = dealt.select("*", *(F.lead(c).over(line).alias(f"next_{c}") for c in carried))
-    return moved.where("_at.ghost = 0").select(*docs.columns, *(f"next_{c}" for c in carried))
+    return moved.where(F.col(at)["ghost"] == 0).select(*docs.columns, *(f"next_{c}" for c in carried))
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

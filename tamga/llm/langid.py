@@ -9,7 +9,9 @@ corpus's. `und`, a language of uniform bytes, stands for texts of no known langu
 
 A row is accepted if its best language isn't `und` and has a posterior of ACCEPTED or more. Null and empty texts
 have no trigrams and are rejected. A null declaration, suffix or host is a value of its own. Without labelled rows
-only `und` exists and all is rejected. Repeated rows count each.
+only `und` exists and all is rejected. Repeated rows count each; an empty table gives an empty one. Of languages of
+equal posterior the first by name is taken. Texts are scored whole, in slices. Other columns pass through, of any name;
+columns called language, posterior or accepted are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import cut, slices, tidy
+from tamga.llm.blocks import cut, free, renamed, slices, tidy
+from tamga.llm.urls import host_of
 
 BINS = 1 << 16
 #: Distinct texts of each label that the text model is fitted on, about; a label with fewer is used whole.
@@ -122,20 +125,23 @@ def _best(array: Column) -> Column:
     return F.array_position(array, F.array_max(array)).cast("int") - 1
 
 
-def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left with right's row of equal key, nulls alike. right goes to all tasks if it is small, else both are dealt."""
-    right = right.withColumnRenamed(key, "_k")
+    (own,) = free([*left.columns, *right.columns], "_k")
+    right = right.withColumnRenamed(key, own)
     if right.limit(SMALL + 1).count() <= SMALL:
         right = F.broadcast(right)
-    return left.join(right, left[key].eqNullSafe(F.col("_k")), "left").drop("_k")
+    return left.join(right, left[key].eqNullSafe(F.col(own)), "left").drop(own)
 
 
 def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: str | None = None, suffix: str | None = None, host: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (all by default) with language, posterior and accepted."""
+    """The columns in keep (all by default) with language, posterior and accepted, which take the place of such columns."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("language", "posterior", "accepted")]
     n = len(model.languages)
     evidence = {"_declared": declared, "_suffix": suffix, "_host": host}
-    docs = docs.select("*", *((F.col(c).cast("string") if c else F.lit(None).cast("string")).alias(k) for k, c in evidence.items()))
+    carried, keep, restored = renamed(keep)
+    docs = docs.select(*carried, F.col(text).alias("_text"), *((F.col(c).cast("string") if c else F.lit(None).cast("string")).alias(k) for k, c in evidence.items()))
+    text = "_text"
     counted = _scored(docs, model, text, list(evidence)).where("_ll is not null").select(*evidence, _best(F.col("_ll")).alias("_c")).groupBy(*evidence, "_c").count()
     counted = cut(counted)
     by = lambda key: [F.sum(F.when(F.col("_c") == i, F.col("count")).otherwise(0)).cast("double").alias(f"_{key}{i}") for i in range(n)]
@@ -152,7 +158,7 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: st
     everywhere = F.array(*map(F.lit, base))
     suffixes = suffixes.select("_suffix", smooth(F.col("_suffix_n"), everywhere).alias("_suffix_p"), "_suffix_n")
     hosts = counted.groupBy("_host").agg(F.max_by("_suffix", "count").alias("_suffix"), *by("n")).select("_host", "_suffix", F.array(*(f"_n{i}" for i in range(n))).alias("_host_n"))
-    hosts = _joined(hosts, suffixes.drop("_suffix_n"), "_suffix").select("_host", smooth(F.col("_host_n"), F.coalesce("_suffix_p", everywhere)).alias("_host_p"))
+    hosts = joined(hosts, suffixes.drop("_suffix_n"), "_suffix").select("_host", smooth(F.col("_host_n"), F.coalesce("_suffix_p", everywhere)).alias("_host_p"))
     # P(value | language), add-one smoothed over the values seen and one unseen
     values = {k: counted.select(k).distinct().count() + 1 for k in ("_declared", "_suffix")}
 
@@ -160,8 +166,8 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: st
         likely = F.zip_with(f"{key}_n", F.array(*(F.lit(t + values[key]) for t in total)), lambda x, t: F.log((x + 1.0) / t))
         return table(key).select(key, likely.alias(f"{key}_l"))
 
-    out = _scored(docs, model, text, [*keep, *(e for e in evidence if e not in keep)])
-    out = _joined(_joined(_joined(out, cut(hosts), "_host"), cut(given("_declared")), "_declared"), cut(given("_suffix")), "_suffix")
+    out = _scored(docs, model, text, [*keep, *evidence])
+    out = joined(joined(joined(out, cut(hosts), "_host"), cut(given("_declared")), "_declared"), cut(given("_suffix")), "_suffix")
     zero = F.array_repeat(F.lit(0.0), n)
     logs = F.zip_with(F.coalesce("_ll", zero), F.transform(F.coalesce("_host_p", everywhere), lambda p: F.log(p)), lambda x, y: x + y)
     logs = F.zip_with(logs, F.zip_with(F.coalesce("_declared_l", zero), F.coalesce("_suffix_l", zero), lambda x, y: x + y), lambda x, y: x + y)
@@ -170,7 +176,7 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: st
     out = out.withColumn("posterior", 1 / F.aggregate("_log", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
     out = out.withColumn("language", F.element_at(F.array(*map(F.lit, model.languages)), _best(F.col("_log")) + 1))
     accepted = F.col("_ll").isNotNull() & (F.col("language") != UNKNOWN) & (F.col("posterior") >= ACCEPTED)
-    return out.withColumn("accepted", accepted).select(*keep, "language", "posterior", "accepted")
+    return out.withColumn("accepted", accepted).select(*restored, "language", "posterior", "accepted")
 
 
 def declared_markup(html: Column) -> Column:
@@ -192,9 +198,9 @@ def visible_text(html: Column) -> Column:
 
 def identify_pages(pages: DataFrame, model: TextModel, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """identify for web pages: all four kinds of evidence, from the page itself and its url."""
-    from tamga.llm.urls import host_of
-
     keep = list(pages.columns) if keep is None else keep
     host = host_of(F.col(url))
-    full = pages.select(*keep, visible_text(F.col(html)).alias("_page_text"), declared_markup(F.col(html)).alias("_page_declared"), host.alias("_page_host"), address_suffix(host).alias("_page_suffix"))
-    return identify(full, model, "_page_text", "_page_declared", "_page_suffix", "_page_host", keep)
+    names = free(pages.columns, "_page_text", "_page_declared", "_page_suffix", "_page_host")
+    evidence = (visible_text(F.col(html)), declared_markup(F.col(html)), address_suffix(host), host)
+    full = pages.select("*", *(e.alias(name) for e, name in zip(evidence, names, strict=True)))
+    return identify(full, model, *names, keep)

@@ -13,7 +13,8 @@ that are connected already, directly or through others, aren't compared again, s
 
 Documents with equal sets are one class with one representative; only representatives are joined. Null and empty
 texts have no shingles and are linked with nothing, not even with each other. Fewer than 5 words are one shingle.
-Rows with a null id, or repeated rows, take part as rows of their own. Other columns are not read.
+Rows with a null id, or repeated rows, take part as rows of their own; an empty table gives an empty one. Texts are
+taken whole: a very long one is a block of its own. Other columns, of any name, are not read; `deduplicate` keeps them.
 """
 
 from __future__ import annotations

@@ -57,12 +57,26 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's language, by its text, its declared language and its source. Documents have no address and no
-    markup, and lang is also what the text model is fitted on; op5_page_language_id has all the evidence."""
-    from tamga.llm.langid import fit_text_model, identify
+    """Every document's language, by its text and, where a page's url ends in its number, that page's markup, address
+    suffix and host; else its source stands for the host. lang is no evidence: it labels the texts that the text model
+    is fitted on, those that aren't held out, so held-out rows tell the accuracy."""
+    from tamga.llm import langid
+    from tamga.llm.ctw import FOLDS, HELD_OUT
 
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return identify(docs, fit_text_model(docs, "lang", "text"), "text", declared="lang", host="source", keep=["doc_id", "lang"])
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", held.alias("held_out"))
+    pages = _read(spark, sf_dir, "pages").select(_number(F.col("url")).alias("doc_id"), F.struct("url", langid.declared_markup(F.col("html")).alias("declared")).alias("page"))
+    pages = pages.where("doc_id is not null").groupBy("doc_id").agg(F.min("page").alias("page"))
+    host = F.when(F.col("page").isNotNull(), langid.host_of(F.col("page.url")))
+    known = langid.joined(docs, pages, "doc_id").select("doc_id", "text", "lang", "held_out", F.col("page.declared").alias("declared"), langid.address_suffix(host).alias("suffix"), F.coalesce(host, "source").alias("host"))
+    model = langid.fit_text_model(docs.where(~F.col("held_out")), "lang", "text")
+    return langid.identify(known, model, "text", "declared", "suffix", "host", keep=["doc_id", "lang", "held_out"])
+
+
+def _number(url: Column) -> Column:
+    """The number that a url ends in: the document's that the page was made from."""
+    number = F.regexp_extract(url, r"/(\d{1,18})(?:\.html)?/?(?:[?#].*)?$", 1)
+    return F.when(number != "", number.cast("long"))
 
 
 def op5_page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +134,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamga.llm.urls import judge_urls
 
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
-    number = F.regexp_extract("url", r"/(\d{1,18})(?:\.html)?/?(?:[?#].*)?$", 1)
     marks = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("_doc"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    labels = pages.select("page_id", F.when(number != "", number.cast("long")).alias("_doc")).join(marks, "_doc").select("page_id", "bad")
+    labels = pages.select("page_id", _number(F.col("url")).alias("_doc")).join(marks, "_doc").select("page_id", "bad")
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
     return judge_urls(pages, labels, rules).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 

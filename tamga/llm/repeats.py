@@ -15,7 +15,8 @@ pieces that occur as wholes elsewhere are repeats from end to end; only differen
 the collections of a bucket are built in parts of PART_BYTES at most, groups together as far as they fit.
 
 Null texts are empty; nothing crosses documents; a string may repeat within one document, also overlapping itself.
-Texts and rows are whole, repeated rows repeat each other's strings.
+Texts are whole, also very long ones; repeated rows repeat each other's strings, and each is cut. An empty table gives
+an empty one. Ids may be null or repeated and of any type; other columns, of any name, are not read.
 """
 
 from __future__ import annotations

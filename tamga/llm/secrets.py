@@ -5,8 +5,10 @@ the trigrams that any query names, the postings of each block of documents; AND
 only candidates are searched by the regex. A rule whose regex has no mandatory trigram searches every text.
 Trigrams are of lower-cased (A-Z) texts, which only adds candidates.
 
-Null texts are empty and have no spans; texts are searched whole; repeated rows give repeated results, also under
-one doc_id or none. Spans are [start, end) in code points.
+Null texts are empty and have no spans; texts of any length are searched whole; repeated rows give repeated results,
+also under one doc_id or none; an empty table gives an empty one. Rules that match at one place are all listed, in
+their order. Other columns pass through, of any name; a column called secrets is replaced. Spans are [start, end) in
+code points.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamga.llm.blocks import free, quoted
+
 #: Documents whose postings are intersected together.
 BLOCK_ROWS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,8 +134,8 @@ def _name(gram: str) -> str:
     return "g_" + gram.encode().hex()
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str) -> DataFrame:
-    """(key, rules array<string>): for the rules with mandatory trigrams, the documents that may match."""
+def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str, name: str = "rules") -> DataFrame:
+    """(key, name array<string>): for the rules with mandatory trigrams, the documents that may match."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
     grams = sorted(set().union(*map(_grams, queries.values())))
     low = F.translate(F.col(text), UPPER, LOWER)
@@ -146,7 +150,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str) ->
 
     found = F.flatten(F.array(*(of(k, q) for k, q in queries.items())))
     hits = blocks.select(F.explode(found).alias("x")).select(F.col("x.id").alias(key), "x.kind")
-    return hits.groupBy(key).agg(F.collect_set("kind").alias("_rules"))
+    return hits.groupBy(key).agg(F.collect_set("kind").alias(name))
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -168,20 +172,22 @@ def spans(text: Column, rule: Rule) -> Column:
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with secrets array<struct<start, rank, kind, end>> by start, then the rules' order."""
-    keyed = docs.drop("secrets").withColumn("_key", F.xxhash64(doc_id))
-    found = candidates(keyed, rules, "_key", text)
+    docs = docs.drop("secrets")
+    key, held = free(docs.columns, "_key", "_rules")
+    keyed = docs.withColumn(key, F.xxhash64(doc_id))
+    found = candidates(keyed, rules, key, text, held)
     indexed = {r.kind for r in rules if trigram_query(r.regex)}
-    joined = keyed.join(found, "_key", "left")
+    joined = keyed.join(found, key, "left")
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int>>)")
 
     def verified(rank: int, rule: Rule) -> Column:
         got = F.transform(spans(body, rule), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
-        may = F.array_contains("_rules", rule.kind) if rule.kind in indexed else F.regexp_like(body, F.lit(rule.regex))
+        may = F.array_contains(held, rule.kind) if rule.kind in indexed else F.regexp_like(body, F.lit(rule.regex))
         return F.when(may, got).otherwise(none)
 
     parts = [verified(rank, rule) for rank, rule in enumerate(rules)]
-    return joined.withColumn("secrets", F.array_sort(F.concat(*parts))).drop("_key", "_rules")
+    return joined.withColumn("secrets", F.array_sort(F.concat(*parts))).select(*map(quoted, docs.columns), "secrets")
 
 
 def redact(scanned: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:

@@ -5,13 +5,15 @@ hexadecimal or mixed identifiers) become wildcards at once; then, level by level
 share of bad labels doesn't differ from their siblings' are merged into one wildcard branch: all without labels, and
 those whose likelihood ratio against their siblings, of raw counts, is below that of a z of SIMILAR. As of many siblings
 some differ by chance, the bound grows with the number of siblings that have labels. What is left are templates; each has a purity: its labelled share of
-bad pages, smoothed towards its host's share, which is smoothed towards the share of all pages. Templates of purity
-BAD or more are blocked.
+bad pages, smoothed towards its host's share, which is smoothed towards the share of all pages. Templates of purity above
+BAD are blocked; without any labels all have BAD and are allowed.
 
 The tree works on distinct generalised paths with counts, aggregated map-side, so a host may hold any share of the
 pages. There is a round for each level at which two
 paths of a host share a branch; finished paths are in no further round. Null urls and urls without :// have an empty host and path and
-are judged as one template; repeated pages count each; pages without label count in no share.
+are judged as one template; repeated pages count each; pages without label count in no share. Urls of any length are
+read whole. An empty table gives an empty one. Other columns pass through, of any name, but for those called host, path,
+rule, template, purity or verdict, which are replaced.
 Rules fit a host and its subdomains when the path starts with the rule's path; the longest wins over the tree.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamga.llm.blocks import Kept, cut
+from tamga.llm.blocks import Kept, cut, free
 
 SIMILAR = 2.0
 WEIGHT = 4.0
@@ -101,16 +103,17 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None, rules: dict[str, str]
     """pages with host, path, rule, template, purity and verdict. labels: (key, bad) with 1 or 0, repeated keys as
     the worst. rules: rule (host/path) to 'block' or 'allow'."""
     parsed = pages.drop("host", "path", "rule", "template", "purity", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    parsed = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_segments", segments_of(F.col("path")))
-    seen = parsed.select(F.col(key).alias("_key"), "host", F.col("_segments").alias("segments"))
+    (segments,) = free(parsed.columns, "_segments")
+    parsed = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn(segments, segments_of(F.col("path")))
+    seen = parsed.select(F.col(key).alias("_key"), "host", F.col(segments).alias("segments"))
     if labels is None:
         seen = seen.withColumn("bad", F.lit(None).cast("int"))
     else:
         worst = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("bad").cast("int").alias("bad"))
         seen = seen.join(worst, "_key", "left")
-    tree = template_tree(seen).withColumnRenamed("segments", "_segments")
-    out = parsed.join(tree, ["host", "_segments"], "left").drop("_segments")
+    tree = template_tree(seen).withColumnRenamed("segments", segments)
+    out = parsed.join(tree, ["host", segments], "left").drop(segments)
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)
-    return out.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("purity") >= BAD, "block").otherwise("allow")))
+    return out.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("purity") > BAD, "block").otherwise("allow")))
