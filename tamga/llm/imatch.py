@@ -135,14 +135,15 @@ def with_next(docs: DataFrame, doc_id: str, carried: list[str], order: Column) -
     firsts = keyed.select(F.col(key).alias("k")).repartitionByRange(ranges, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k"))
     firsts = firsts.agg(F.array_sort(F.collect_list("k")).alias("k"))
     # in rows of `wide`, so that a row's range is found by its row, then its place there
-    wide = math.isqrt(ranges) + 1
-    rows = F.transform(F.filter(F.sequence(F.lit(0), F.lit(wide)), lambda i: i * wide < F.size("k")), lambda i: F.slice("k", i * wide + 1, F.lit(wide)))
-    table = cut(firsts.select(F.struct(rows.alias("rows"), F.size("k").alias("n")).alias("bounds"))).scalar()
+    firsts = firsts.withColumn("wide", F.ceil(F.sqrt(F.size("k"))).cast("int"))
+    wide = F.col("wide")
+    rows = F.transform(F.filter(F.sequence(F.lit(0), wide), lambda i: i * wide < F.size("k")), lambda i: F.slice("k", i * wide + 1, wide))
+    table = cut(firsts.select(F.struct(rows.alias("rows"), F.size("k").alias("n"), "wide").alias("bounds"))).scalar()
     marked = keyed.select(*docs.columns, key, table.alias(bounds))
     among = F.size(F.filter(F.transform(F.col(bounds)["rows"], lambda r: r[0]), lambda first: first <= F.col(key)))
     own = F.element_at(F.col(bounds)["rows"], among)
     place = F.size(F.filter(own, lambda first: first <= F.col(key)))
-    number = (among - 1) * wide + place
+    number = (among - 1) * F.col(bounds)["wide"] + place
     here = F.struct(number.alias("range"), F.lit(0).alias("ghost"))
     before = F.struct(F.when(number == 1, F.col(bounds)["n"]).otherwise(number - 1).alias("range"), F.lit(1).alias("ghost"))
     dealt = marked.select(*docs.columns, key, F.explode(F.when(F.element_at(own, place) == F.col(key), F.array(here, before)).otherwise(F.array(here))).alias(at))
