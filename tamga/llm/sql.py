@@ -63,5 +63,20 @@ def op8() -> str:
     SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
 
+def op9() -> str:
+    # texts as hexadecimal digits, two a byte; windows are told apart by their MD5 sums
+    return """WITH t AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    win AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM t)),
+    again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+    hit AS (SELECT r, i FROM win SEMI JOIN again USING (h)),
+    marked AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 400, -1) AS opens FROM hit),
+    numbered AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+    run AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY r, run),
+    gap AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM run),
+    cut AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS lead FROM gap JOIN t USING (r) GROUP BY r)
+    SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(lead, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM t LEFT JOIN cut USING (r)"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op3_ngram_join": op3(), "op6_secret_scan": op6(), "op7_decontamination": op7(), "op8_chat_format": op8()}
+    return {"op3_ngram_join": op3(), "op6_secret_scan": op6(), "op7_decontamination": op7(), "op8_chat_format": op8(), "op9_repeated_spans": op9()}
