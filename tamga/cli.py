@@ -44,19 +44,17 @@ def batch(verb: str, text: str, lenient: bool) -> str:
     lines = sources.explode_lines(sources.inline(spark, text))
     column = F.col("line")
     mode = "lenient" if lenient else "permissive"
-    run = {"shape": lambda: fn.shape_str(column, "permissive"), "normalize": lambda: fn.normalize(column, mode), "normalize-text": lambda: fn.normalize_text(column, mode)}
-    if verb == "normalize-written-units":
-        rows = [(r.number, VERBS[verb](r.line, lenient)) for r in lines.orderBy("number").toLocalIterator()]
-    else:
-        done = lines.withColumn("r", run[verb]()).orderBy("number")
-        rows = []
-        for r in done.toLocalIterator():
-            if isinstance(r.r, str):
-                rows.append((r.number, r.r))
-            elif r.r.error_class:
-                raise kernel.WordError(r.r.error_class, f"line {r.number}: {r.r.error_message}")
-            else:
-                rows.append((r.number, r.r.value))
+    mode = mode if verb in ("normalize", "normalize-text") else "permissive"
+    run = {"normalize-written-units": lambda: fn.normalize_unit_text(column, mode), "shape": lambda: fn.shape_str(column, "permissive"), "normalize": lambda: fn.normalize(column, mode), "normalize-text": lambda: fn.normalize_text(column, mode)}
+    done = lines.withColumn("r", run[verb]()).orderBy("number")
+    rows = []
+    for r in done.toLocalIterator():
+        if isinstance(r.r, str):
+            rows.append((r.number, r.r))
+        elif r.r.error_class:
+            raise kernel.WordError(r.r.error_class, f"line {r.number}: {r.r.error_message}")
+        else:
+            rows.append((r.number, r.r.value))
     return "\n".join(v for _, v in rows) + "\n" * text.endswith(("\n", "\r"))
 
 

@@ -141,6 +141,16 @@ def normalize_positioned_written_units(records: Column | str, mode: str = "stric
     return _mapped(lambda r: kernel.encode_positioned([(x["unit"], x["position"]) for x in r]), "string", mode)(records)
 
 
+def normalize_positioned_json(text: Column | str, mode: str = "strict") -> Column:
+    """The same from records in JSON, whose form is checked first."""
+    return _mapped(kernel.encode_json, "string", mode)(text)
+
+
+def normalize_unit_text(text: Column | str, mode: str = "strict") -> Column:
+    """The canonical spelling of units as text, with or without separators."""
+    return _mapped(lambda t: kernel.encode_units(kernel.parse_units(t)), "string", mode)(text)
+
+
 def parse_written_units(text: Column | str, mode: str = "strict") -> Column:
     return _mapped(lambda t: list(kernel.parse_units(t)), UNITS, mode)(text)
 
@@ -162,6 +172,27 @@ def canonical_units(units: Column | str) -> Column:
 
 
 # native -----------------------------------------------------------------------------------------------------------
+def canonical_version() -> Column:
+    """The version of the canonical spelling, to be stored beside keys that are made by it."""
+    return F.lit(tables.CANONICAL_VERSION)
+
+
+def version() -> Column:
+    """The version of this engine."""
+    return F.lit(tables.VERSION)
+
+
+def locale() -> Column:
+    return F.lit(tables.LOCALE)
+
+
+def expected_units(text: Column, breaks: str = "_ -") -> Column:
+    """The expected units of a conformance table as an array: the names of `breaks` are Mvs, Ni is Nirugu, and marks of
+    word ends and selectors are none."""
+    names = F.filter(F.split(F.trim(text), r"\s+"), lambda u: ~u.rlike("^([<>]|Fvs[1-4]|Nnbsp)?$") | u.isin(*breaks.split()))
+    return F.transform(names, lambda u: F.when(u.isin(*breaks.split()), "Mvs").when(u == "Ni", "Nirugu").otherwise(u))
+
+
 def is_mongolian_letter(char: Column) -> Column:
     return char.rlike(f"^[{LETTER_CLASS}]$")
 
@@ -212,25 +243,29 @@ def code_points(text: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lpad(F.hex(F.ascii(c)), 4, "0")), " ")
 
 
+def from_code_points(cps: Column) -> Column:
+    """A text from an array of code points below 65,536."""
+    wide = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")
+    return F.array_join(F.transform(cps, wide), "")
+
+
 def spell_aliases(aliases: Column) -> Column:
-    """A word from its aliases: 't a l mvs a'."""
+    """A word from its aliases: 't a l mvs a'. An unknown alias fails the query."""
     known = {**tables.catalogue().char, "mvs": tables.MVS, "nnbsp": tables.NNBSP, "nirugu": tables.NIRUGU, "zwj": tables.ZWJ, "zwnj": tables.ZWNJ, **{f"fvs{n}": c for n, c in tables.FVS.items()}}
     pairs = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    return F.array_join(F.transform(F.split(F.trim(aliases), r"\s+"), lambda a: pairs[a]), "")
+    return F.array_join(F.transform(F.split(F.trim(aliases), r"\s+"), lambda a: F.coalesce(F.try_element_at(pairs, a), F.raise_error(F.concat(F.lit("unknown alias "), a)))), "")
 
 
 def middle(a: Column, b: Column) -> Column:
     """What is left of two arrays without their common start and end, as a struct of a and b joined by +."""
 
-    def rest(x, y):
-        x, y = list(x), list(y)
-        while x and y and x[0] == y[0]:
-            x, y = x[1:], y[1:]
-        while x and y and x[-1] == y[-1]:
-            x, y = x[:-1], y[:-1]
-        return {"a": "+".join(x), "b": "+".join(y)}
-
-    def both(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([rest(p, q) for p, q in zip(x, y, strict=True)], columns=["a", "b"])
+    def common(x: Column, y: Column) -> Column:
+        least = F.least(F.size(x), F.size(y))
+        same = F.zip_with(F.slice(x, F.lit(1), least), F.slice(y, F.lit(1), least), lambda p, q: p == q)
+        return F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, least).cast("int")
 
-    return F.pandas_udf(both, "struct<a:string,b:string>")(a, b)
+    start = common(a, b)
+    rest = lambda x: F.slice(x, start + 1, F.size(x))
+    end = common(F.reverse(rest(a)), F.reverse(rest(b)))
+    left = lambda x: F.array_join(F.slice(x, start + 1, F.size(x) - start - end), "+")
+    return F.struct(left(a).alias("a"), left(b).alias("b"))

@@ -6,11 +6,12 @@ depends on conditions. Rules then are small functions from a token to its condit
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-from tamga.tables import BOWED, FVS_NUMBER, LETTER_CLASS, MAX_RECORDS, MVS, NIRUGU, NNBSP, RULES, SAME_FINA_MEDI, SAME_INIT_MEDI, SAME_ISOL_FINA, SAME_ISOL_INIT, STRUCTURAL, WORD_CLASS, ZWJ, ZWNJ, catalogue
+from tamga.tables import BOWED, FVS_NUMBER, LETTER_CLASS, MAX_RECORDS, MVS, NIRUGU, NNBSP, POSITIONS, RULES, SAME_FINA_MEDI, SAME_INIT_MEDI, SAME_ISOL_FINA, SAME_ISOL_INIT, STRUCTURAL, WORD_CLASS, ZWJ, ZWNJ, catalogue
 
 _NOT_WORD = re.compile(f"[^{WORD_CLASS}]")
 _RUNS = re.compile(f"([{WORD_CLASS}]+)|[^{WORD_CLASS}]+")
@@ -29,6 +30,14 @@ class WordError(ValueError):
         self.error_class, self.index, self.units = error_class, index, units
 
 
+class NormalizationFallback(WordError):
+    """A word without canonical spelling: its text, and the units that have none."""
+
+    def __init__(self, text: str, units: tuple[str, ...]):
+        super().__init__("NormalizationFallback", f"normalization fallback: no canonical encoding for written units {'+'.join(units)}", None, units)
+        self.text, self.written_units = text, units
+
+
 def _shown(text: str) -> str:
     return repr(text)[1:-1] if text.isascii() or not text.isprintable() else text
 
@@ -656,7 +665,7 @@ def normalize(word: str, lenient: bool = False) -> str:
         return text
     if lenient:
         return word
-    raise WordError("NormalizationFallback", f"normalization fallback: no canonical encoding for written units {'+'.join(units)}", None, units)
+    raise NormalizationFallback(word, units)
 
 
 def normalize_text(text: str, lenient: bool = False) -> str:
@@ -732,6 +741,35 @@ def encode_positioned(records: list[tuple[str, str]]) -> str:
     return encode_units(tuple(units))
 
 
+def encode_records(records: object) -> str:
+    """encode_positioned of records as they come from outside: a list of objects with unit and position."""
+    if not isinstance(records, (list, tuple)):
+        raise WordError("RecordType", "positioned_units must be an ordered sequence of records")
+    if len(records) > MAX_RECORDS:
+        raise WordError("TooManyRecords", f"positioned_units accepts at most {MAX_RECORDS} records")
+    known = frozenset((*POSITIONS, "control"))
+    for i, record in enumerate(records):
+        if not isinstance(record, dict):
+            raise WordError("RecordType", f"positioned_units[{i}] must be a record", i)
+        if set(record) != {"unit", "position"}:
+            raise WordError("RecordFields", f"positioned_units[{i}] must contain exactly 'unit' and 'position'", i)
+        for field in ("unit", "position"):
+            if not isinstance(record[field], str):
+                raise WordError("RecordType", f"positioned_units[{i}].{field} must be a string", i)
+        if record["position"] not in known:
+            raise WordError("UnknownPosition", f"positioned_units[{i}] has unknown position {record['position']!r}", i)
+    return encode_positioned([(r["unit"], r["position"]) for r in records])
+
+
+def encode_json(text: str) -> str:
+    """encode_records of records in JSON."""
+    try:
+        records = json.loads(text)
+    except ValueError as e:
+        raise WordError("RecordType", f"positioned_units must be JSON: {e}") from None
+    return encode_records(records)
+
+
 def _needs_joiner(unit: str) -> bool:
     """Whether a lone initial unit would be read as isolated."""
     if (unit, "isol") in catalogue().positioned:

@@ -1,4 +1,4 @@
-"""Corpus operators: words out of texts, shapes and canonical spellings, and joins and groups by them."""
+"""Corpus operators: words out of texts, shapes and canonical spellings, joins, groups and sets of words by them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,13 @@ from tamga import functions as fn
 from tamga import tables
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many partitions as there are cores when its scan has fewer than twice as many: a small file is
+    often one row group, so one task, whatever the number of splits. A large scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def extract_words(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep, pos, word: a row for each word of each text, in order. All native."""
     keep = [] if keep is None else keep
@@ -33,9 +40,32 @@ def with_shape(df: DataFrame, word: str = "word", name: str = "shape", mode: str
     return with_result(df, word, name, lambda c: fn.shape_str(c, mode), dedupe)
 
 
-def with_normalized(df: DataFrame, word: str = "word", name: str = "normalized", mode: str = "strict", dedupe: bool = True) -> DataFrame:
-    """The canonical version to store beside it is tables.CANONICAL_VERSION."""
-    return with_result(df, word, name, lambda c: fn.normalize(c, mode), dedupe)
+def with_normalized(df: DataFrame, word: str = "word", name: str = "normalized", mode: str = "strict", dedupe: bool = True, version: str | None = None) -> DataFrame:
+    """version: a column for the canonical version, by which stored keys are known to be current."""
+    done = with_result(df, word, name, lambda c: fn.normalize(c, mode), dedupe)
+    return done.withColumn(version, fn.canonical_version()) if version else done
+
+
+def normalize_texts(df: DataFrame, key: str, text: str = "text", name: str = "normalized", mode: str = "strict") -> DataFrame:
+    """df with its texts normalised. key tells rows apart. Each distinct word of all texts is normalised once; texts are
+    put together again from their other characters and what comes back. Null texts stay null."""
+    if mode == "permissive":
+        raise ValueError("mode must be strict or lenient")
+    words = extract_words(df.select(F.col(key).alias("key"), F.col(text).alias("text")), keep=["key"])
+    changed = distinct_words(words).select("word", fn.normalize(F.col("word"), mode).alias("new")).where("new <> word")
+    # only words that change come back; a place holds one word
+    back = words.join(changed, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_back"))
+    joined = df.join(back.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
+    old, gaps = fn.words_in(F.col(text)), F.split(F.col(text), f"[{tables.WORD_CLASS}]+", -1)
+    # pieces from the place after one changed word to the next one
+    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    between = lambda start, end: F.array_join(F.transform(F.slice(F.col("_pieces"), start + 1, F.greatest(end - start, F.lit(0))), lambda p: F.concat(p["gap"], p["word"])), "")
+    step = lambda acc, x: F.struct((x["pos"] + 1).alias("pos"), F.concat(acc["out"], between(acc["pos"], x["pos"]), F.get(F.col("_pieces"), x["pos"])["gap"], x["new"]).alias("out"))
+    pieces = F.arrays_zip(F.slice(gaps, 1, F.size(old)).alias("gap"), old.alias("word"))
+    done = joined.withColumn("_pieces", F.when(F.col("_back").isNotNull(), pieces))
+    tail = lambda acc: F.concat(acc["out"], between(acc["pos"], F.size("_pieces")), F.element_at(gaps, -1))
+    done = done.withColumn(name, F.when(F.col("_back").isNull(), F.col(text)).otherwise(F.aggregate("_back", zero, step, tail)))
+    return done.drop("_key", "_back", "_pieces")
 
 
 def shape_groups(shaped: DataFrame) -> DataFrame:
@@ -48,8 +78,9 @@ def representatives(shaped: DataFrame) -> DataFrame:
 
 
 def dedup_by_shape(shaped: DataFrame) -> DataFrame:
-    """The rows whose word is the least of its shape."""
-    return shaped.join(representatives(shaped).select("word"), "word", "left_semi")
+    """The row whose word is the least of its shape, of distinct words."""
+    least = F.min_by(F.struct(*(c for c in shaped.columns if c != "shape")), "word")
+    return shaped.groupBy("shape").agg(least.alias("_row")).select("shape", "_row.*").select(*shaped.columns)
 
 
 def shape_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -66,9 +97,11 @@ def shape_anti(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def compare_shapes(df: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
-    """Two array columns of units compared: a row of totals, and the kinds of difference by how often they occur."""
+    """Two array columns of units compared: a row of totals (total, same and its percentage, to two digits), and the
+    kinds of difference by how often they occur."""
     differ = F.col(a) != F.col(b)
     total = df.agg(F.count(F.lit(1)).alias("total"), F.count_if(~differ).alias("same"))
+    total = total.withColumn("percent", F.when(F.col("total") > 0, F.round(100.0 * F.col("same") / F.col("total"), 2)).otherwise(100.0))
     parts = df.where(differ).withColumn("_m", fn.middle(F.col(a), F.col(b)))
     kinds = parts.groupBy(F.col("_m.a").alias("a_part"), F.col("_m.b").alias("b_part")).agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("example"))
     return total, kinds
@@ -79,12 +112,62 @@ def canonicity(shaped: DataFrame, normalized: str = "normalized") -> DataFrame:
     return shaped.groupBy("shape").agg(F.count_distinct(normalized).alias("n_spellings")).where("n_spellings > 1")
 
 
+def _starts(shapes: DataFrame) -> DataFrame:
+    """longer, shape: the starts of each shape, itself left out."""
+    units = F.split("shape", r"\+")
+    listed = F.transform(F.sequence(F.lit(1), F.size(units) - 1), lambda n: F.array_join(F.slice(units, 1, n), "+"))
+    return shapes.where(F.contains("shape", F.lit("+"))).select(F.col("shape").alias("longer"), F.explode(listed).alias("shape"))
+
+
 def prefix_pairs(shaped: DataFrame) -> DataFrame:
     """shape, longer: pairs of shapes of which one starts the other, by an equi-join of all starts."""
     shapes = shaped.select("shape").distinct()
-    units = F.split("shape", r"\+")
-    starts = shapes.select(F.col("shape").alias("longer"), F.explode(F.transform(F.sequence(F.lit(1), F.size(units) - 1), lambda n: F.array_join(F.slice(units, 1, n), "+"))).alias("shape")).where(F.size(F.split("longer", r"\+")) > 1)
-    return starts.join(shapes, "shape").select("shape", "longer")
+    return _starts(shapes).join(shapes, "shape").select("shape", "longer")
+
+
+def prefix_counts(shaped: DataFrame) -> DataFrame:
+    """shape, n: how many other shapes start with each that any does; starts are counted before they meet shapes."""
+    shapes = shaped.select("shape").distinct()
+    return _starts(shapes).groupBy("shape").agg(F.count(F.lit(1)).alias("n")).join(shapes, "shape", "left_semi")
+
+
+def prefix_stability(spelt: DataFrame, spelling: str = "normalized") -> DataFrame:
+    """Of spelt (shape, spelling), one row for each shape: pairs of shapes of which one starts the other, whose
+    spellings agree up to the letters of the unit where the shorter ends and no further back.
+
+    shape, longer, spelling, longer_spelling, shared (characters in common), stable: whether at most the last letter of
+    the shorter, with its selector, differs.
+    """
+    one = spelt.select("shape", F.col(spelling).alias("spelling"))
+    pairs = prefix_pairs(one).join(one, "shape").join(one.toDF("longer", "longer_spelling"), "longer")
+    a, b = F.split("spelling", ""), F.split("longer_spelling", "")
+    same = F.zip_with(F.slice(a, F.lit(1), F.least(F.size(a), F.size(b))), F.slice(b, F.lit(1), F.least(F.size(a), F.size(b))), lambda x, y: x == y)
+    shared = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(same)).cast("int")
+    last = F.length(F.regexp_extract("spelling", f"[^{fn.FVS_CLASS}][{fn.FVS_CLASS}]*$", 0))
+    return pairs.select("shape", "longer", "spelling", "longer_spelling", shared.alias("shared"), (shared >= F.length("spelling") - last).alias("stable"))
+
+
+def first_seen(words: DataFrame, order: list[str], word: str = "word") -> DataFrame:
+    """word, n, first struct<order>: distinct words with where each is seen first; sort by first for that order."""
+    return words.groupBy(word).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
+
+
+def words_union(*corpora: DataFrame) -> DataFrame:
+    """word, in_0, in_1, ...: the distinct words of all corpora and which of them have each; one shuffle."""
+    marked = [c.select("word", *(F.lit(i == k).alias(f"in_{k}") for k in range(len(corpora)))) for i, c in enumerate(corpora)]
+    every = marked[0]
+    for one in marked[1:]:
+        every = every.unionByName(one)
+    return every.groupBy("word").agg(*(F.max(f"in_{k}").alias(f"in_{k}") for k in range(len(corpora))))
+
+
+def words_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("word").intersect(b.select("word"))
+
+
+def words_except(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct words of a that b has not."""
+    return a.select("word").subtract(b.select("word"))
 
 
 def token_rows(words: DataFrame, word: str = "word", keep: list[str] | None = None) -> DataFrame:

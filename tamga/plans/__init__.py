@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamga import functions as fn
 from tamga import operators as op
-from tamga import sources, streaming, tables
+from tamga import sources, streaming, tables, views
 from tamga.operators import battery
 from tamga.plans import sql
 
@@ -22,7 +22,12 @@ def mongolian(text: Column) -> Column:
 
 
 def found(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
-    return op.extract_words(read(spark, sf_dir, table).select(key, mongolian(F.col("text")).alias("text")), keep=[key])
+    return op.extract_words(texts(spark, sf_dir, table, key), keep=[key])
+
+
+def texts(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id") -> DataFrame:
+    """key, text: texts in Mongolian letters."""
+    return op.spread(read(spark, sf_dir, table).select(key, "text")).select(key, mongolian(F.col("text")).alias("text"))
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +169,34 @@ def compare_diff_groups(spark, d):
 
 
 def prefix_pairs(spark, d):
-    return op.prefix_pairs(shaped(spark, d)).groupBy(F.length("shape").cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    return op.prefix_counts(shaped(spark, d)).groupBy(F.length("shape").cast("long").alias("length")).agg(F.sum("n").alias("n"))
+
+
+def prefix_stability(spark, d):
+    """Of shapes of which one starts another, how many pairs are spelt alike up to where the shorter ends."""
+    spelt = op.representatives(shaped(spark, d)).withColumn("normalized", fn.normalize(F.col("word"), "lenient"))
+    return op.prefix_stability(spelt).agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(~F.col("stable")).cast("int").alias("n_unstable"))
+
+
+def words_first_seen(spark, d):
+    """Distinct words by where each is seen first."""
+    seen = op.first_seen(found(spark, d), ["doc_id", "pos"])
+    return seen.select("word", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos")).orderBy("doc_id", "pos").limit(500)
+
+
+def corpora_union_except(spark, d):
+    """Words of documents and of the benchmark: how many are in either, both, one only."""
+    a, b = found(spark, d), found(spark, d, "benchmark", "item_id")
+    either = op.words_union(a, b).agg(F.count(F.lit(1)).alias("n_union"), F.count_if(F.col("in_0") & F.col("in_1")).alias("n_both"))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    # single rows
+    return either.crossJoin(count(op.words_intersect(a, b), "n_intersect")).crossJoin(count(op.words_except(a, b), "n_only_documents")).crossJoin(count(op.words_except(b, a), "n_only_benchmark"))
+
+
+def versions(spark, d):
+    """Canonical spellings with the version that made them."""
+    words = counted(spark, d).orderBy(F.desc("n"), "word").limit(50).select("word")
+    return op.with_normalized(words, mode="lenient", version="canonical_version").select("word", "canonical_version", fn.locale().alias("locale"))
 
 
 def normalize(spark, d):
@@ -195,13 +227,13 @@ def round_trip(spark, d):
 
 def normalize_text_shapes(spark, d):
     """Normalised texts have the same shapes and the same other characters."""
-    texts = read(spark, d, "documents").select("doc_id", mongolian(F.col("text")).alias("a")).withColumn("b", fn.normalize_text(F.col("a"), "lenient"))
+    done = op.normalize_texts(texts(spark, d).withColumnRenamed("text", "a"), "doc_id", "a", "b", "lenient")
     rest = lambda c: F.regexp_replace(c, f"[{tables.WORD_CLASS}]+", "_")
-    sides = texts.select("doc_id", F.posexplode(F.arrays_zip(fn.words_in(F.col("a")).alias("a"), fn.words_in(F.col("b")).alias("b"))).alias("pos", "w")).select("doc_id", "w.a", "w.b")
+    sides = done.select("doc_id", F.explode(F.array_distinct(F.arrays_zip(fn.words_in(F.col("a")).alias("a"), fn.words_in(F.col("b")).alias("b")))).alias("w")).select("doc_id", "w.a", "w.b")
     pairs = sides.select("a", "b").distinct()
     wrong = pairs.where(~F.coalesce(fn.same_shape(F.col("a"), F.col("b")), F.lit(False))).select("a", "b")
     bad = sides.join(wrong, ["a", "b"], "left_semi").select("doc_id").distinct().withColumn("bad", F.lit(True))
-    return texts.select("doc_id", (rest(F.col("a")) == rest(F.col("b"))).alias("same_rest")).join(bad, "doc_id", "left").select("doc_id", F.col("bad").isNull().alias("same_shapes"), "same_rest")
+    return done.select("doc_id", (rest(F.col("a")) == rest(F.col("b"))).alias("same_rest")).join(bad, "doc_id", "left").select("doc_id", F.col("bad").isNull().alias("same_shapes"), "same_rest")
 
 
 def encode_units(spark, d):
@@ -215,7 +247,7 @@ def encode_positioned(spark, d):
     side = lambda p: units.where(F.col("position") == p).select(F.struct("unit", "position").alias(p))
     alone = units.select(F.array(F.struct("unit", "position")).alias("r"))
     # at most 31 x 33 rows of the catalogue
-    pairs = side("init").withColumn("k", F.lit(1)).join(side("fina").withColumn("k", F.lit(1)), "k").select(F.array("init", "fina").alias("r"))
+    pairs = side("init").crossJoin(side("fina")).select(F.array("init", "fina").alias("r"))
     records = alone.unionByName(pairs)
     spec = F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["unit"], x["position"])), "+")
     got = records.select(spec.alias("records"), fn.normalize_positioned_written_units(F.col("r"), "permissive").alias("e"))
@@ -247,7 +279,7 @@ def expand_contract(spark, d):
 
 
 def batch_lines(spark, d):
-    return sources.explode_lines(read(spark, d, "documents"), keep=["doc_id"]).withColumn("number", F.col("number").cast("long"))
+    return sources.explode_lines(op.spread(read(spark, d, "documents").select("doc_id", "text")), keep=["doc_id"]).withColumn("number", F.col("number").cast("long"))
 
 
 def inventories(spark, d):
@@ -285,20 +317,50 @@ def rule_names(spark, d):
 
 
 def stream_shape_dedup(spark, d):
-    """Distinct shapes of a stream of events."""
+    """Distinct shapes of a stream of documents, each of which comes a second after the one before it, the first after
+    the watermark's own start."""
+    schema = read(spark, d, "documents").schema
+    # a folder's stream: the table's file or files are matched by a pattern
+    stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")
+    texts = stream.select("doc_id", F.timestamp_seconds(F.col("doc_id") + 1).alias("ts"), mongolian(F.col("text")).alias("text"))
+    words = op.extract_words(texts, keep=["ts"]).withWatermark("ts", "100000 hours").dropDuplicatesWithinWatermark(["word"])
+    first = streaming.first_of_shape(words.withColumn("shape", fn.shape_str(F.col("word"))), delay="100000 hours")
+    return streaming.drain(first).select("shape").distinct()
+
+
+def stream_shape_counts(spark, d):
+    """Shapes of a stream of events by day, as far as the watermark has closed the days."""
     schema = read(spark, d, "events").schema
-    # a folder's stream: the one file is matched by a pattern
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
-    texts = stream.select("event_id", "ts", mongolian(F.col("event_type")).alias("text"))
-    first = streaming.first_of_shape(streaming.shaped_stream(texts, keep=["event_id", "ts"]), delay="100000 hours")
-    return streaming.drain(first, "tamga_stream_shapes").select("shape").distinct()
+    texts = stream.select("ts", mongolian(F.col("event_type")).alias("text"))
+    counts = streaming.shape_counts(streaming.shaped_stream(texts, keep=["ts"]), delay="0 seconds")
+    return streaming.drain(counts).groupBy("shape").agg(F.count_distinct("window_start").alias("n_days"), F.sum("n").alias("n"))
+
+
+def tokens_view(spark, d):
+    """token_positions by SQL, over the table function."""
+    views.register(spark)
+    valid(spark, d).createOrReplaceTempView("tamga_words")
+    return spark.sql("SELECT t.ch, t.kind, t.position, count(*) AS n FROM tamga_words, LATERAL tokens(word) t GROUP BY t.ch, t.kind, t.position")
+
+
+def parse_records(spark, d):
+    """Records of positioned units in JSON: every unit at every position, and forms that are none."""
+    names = op.inventory(spark).where("position is null").select("unit").crossJoin(spark.createDataFrame([(p,) for p in (*tables.POSITIONS, "control", "middle")], "position string"))
+    text = names.select(F.to_json(F.array(F.struct("unit", "position"))).alias("records"))
+    odd = ["", "{}", "[1]", '[{"unit":"A"}]', '[{"unit":1,"position":"isol"}]', '[{"unit":"A","position":"isol","x":1}]']
+    text = text.unionByName(spark.createDataFrame([(o,) for o in odd], "records string"))
+    got = text.withColumn("r", fn.normalize_positioned_json(F.col("records"), "permissive"))
+    # spellings are encode_positioned's; here the errors of form and inventory are told
+    kinds = ("RecordType", "RecordFields", "UnknownPosition", "ExplicitZwj", "ExplicitZwnj", "ControlRequiresControlPosition", "UnsupportedPositionedUnit")
+    return got.select("records", F.when(F.col("r.error_class").isin(*kinds), F.col("r.error_class")).alias("error_class"))
 
 
 QUERIES = (
-    letter_positions, words_extract, words_distinct_topk, classify_chars, check_word_chars, token_positions, code_points, default_forms, rule_conditions, rule_effects,
+    letter_positions, words_extract, words_distinct_topk, words_first_seen, corpora_union_except, versions, classify_chars, check_word_chars, token_positions, code_points, default_forms, rule_conditions, rule_effects,
     shape_detailed, shape_raw, shape_str, shape_controls, shape_groups, shape_groups_topk, representatives, dedup_by_shape, docs_by_shape, same_shape_join, shape_semi, shape_anti,
-    compare_raw_and_shape, compare_diff_groups, prefix_pairs, normalize, normalize_controls, canonicity_check, round_trip, normalize_text_shapes, encode_units, encode_positioned,
-    parse_units, parse_compact, control_rounds, expand_contract, batch_lines, inventories, variants, reverse_table, battery_table, random_round_trip, rule_names, stream_shape_dedup,
+    compare_raw_and_shape, compare_diff_groups, prefix_pairs, prefix_stability, normalize, normalize_controls, canonicity_check, round_trip, normalize_text_shapes, encode_units, encode_positioned,
+    parse_units, parse_compact, control_rounds, expand_contract, batch_lines, inventories, variants, reverse_table, battery_table, random_round_trip, rule_names, stream_shape_dedup, stream_shape_counts, tokens_view, parse_records,
 )
 
 

@@ -107,6 +107,25 @@ def shaped(source: str = "found") -> str:
     shaped AS (SELECT word, raw, array_to_string(CASE WHEN one IS NULL THEN u ELSE list_append(u[1:m - 2], one) END, '+') AS shape FROM ended)"""
 
 
+def spelt() -> str:
+    """CTE spelt(shape, text): the letters of a chain, a unit at a time where the reverse table has it, else the longest
+    run; after G or Gx, not at the end, a unit's feminine letter in place of a masculine one."""
+    c = tables.catalogue()
+    rows = [(p, "+".join(u), len(u), a, t) for (p, u), (a, t) in c.encode.items()]
+    feminine = [(p, u, t) for (p, u), (_, t) in c.encode_feminine.items()]
+    place = lambda i, n, total: f"CASE WHEN {i} = 0 AND {n} = {total} THEN 'isol' WHEN {i} = 0 THEN 'init' WHEN {i} + {n} = {total} THEN 'fina' ELSE 'medi' END"
+    return f"""code AS {values(rows, 'position, form, n, alias, text')}, soft AS {values(feminine, 'position, form, text')},
+    units AS (SELECT shape, string_split(shape, '+') AS u FROM (SELECT DISTINCT shape FROM full_)),
+    part AS (SELECT shape, u, 0 AS done, 0 AS k, '' AS form, '' AS alias, '' AS text, 0 AS n FROM units
+        UNION ALL SELECT p.shape, p.u, p.done + x.n, p.k + 1, x.form, x.alias, x.text, x.n FROM part p, LATERAL (SELECT * FROM code c
+            WHERE c.n <= len(p.u) - p.done AND c.form = array_to_string(p.u[p.done + 1:p.done + c.n], '+') AND c.position = {place('p.done', 'c.n', 'len(p.u)')}
+            ORDER BY c.n = 1 DESC, c.n DESC LIMIT 1) x WHERE p.done < len(p.u)),
+    letters AS (SELECT *, k - 1 AS i, max(k) OVER (PARTITION BY shape) AS total, max(done) OVER (PARTITION BY shape) = len(u) AS whole, lag(form) OVER w AS before, lag(n) OVER w AS before_n FROM part WHERE k > 0 WINDOW w AS (PARTITION BY shape ORDER BY k)),
+    lettered AS (SELECT l.shape, l.i, CASE WHEN before IN ('G', 'Gx') AND before_n = 1 AND l.n = 1 AND alias IN ({", ".join(map(literal, sorted(c.masculine)))}) THEN coalesce(s.text, l.text) ELSE l.text END AS text
+        FROM letters l LEFT JOIN soft s ON s.form = l.form AND s.position = {place('l.i', '1', 'l.total')} WHERE whole),
+    spelt AS (SELECT shape, string_agg(text, '' ORDER BY i) AS text FROM lettered GROUP BY shape)"""
+
+
 def positioned() -> str:
     """CTEs up to place(word, i, ch, kind, position) of words with controls."""
     bare = f"regexp_replace(replace(word, '\u202f', '\u180e'), '[{FVS}]', '', 'g')"
@@ -126,6 +145,7 @@ def oracle() -> dict[str, str]:
     counted = f"WITH {words()}, {shaped()}, counted AS (SELECT word, count(*) AS n FROM found GROUP BY word), full_ AS (SELECT s.word, n, raw, shape FROM shaped s JOIN counted USING (word))"
     bench = f"{words('benchmark', 'item_id').replace('found AS', 'other AS')}"
     two = f"WITH {words()}, {bench}, both_ AS (SELECT word FROM found UNION SELECT word FROM other), {shaped('both_')}"
+    known_units = ", ".join(map(literal, sorted(c.known)))
     known = [(u, None) for u in sorted(c.known)] + sorted(c.positioned)
     variant = [(a, p, f, "+".join(u), d, "/".join(x)) for a, p, f, u, d, x in c.rows]
     reverse = [(p, "+".join(u), a, t) for (p, u), (a, t) in c.encode.items()]
@@ -151,10 +171,31 @@ def oracle() -> dict[str, str]:
         "same_shape_join": f"{two} SELECT a.shape, a.word, b.word AS other FROM shaped a JOIN shaped b USING (shape) WHERE a.word IN (SELECT word FROM found) AND b.word IN (SELECT word FROM other) AND a.word <> b.word",
         "shape_semi": f"{two} SELECT word, shape FROM shaped WHERE word IN (SELECT word FROM found) AND shape IN (SELECT shape FROM shaped WHERE word IN (SELECT word FROM other))",
         "shape_anti": f"{two} SELECT word, shape FROM shaped WHERE word IN (SELECT word FROM other) AND shape NOT IN (SELECT shape FROM shaped WHERE word IN (SELECT word FROM found))",
-        "compare_raw_and_shape": f"{counted} SELECT count(*) AS total, count(*) FILTER (raw = shape) AS same FROM full_",
+        "compare_raw_and_shape": f"{counted} SELECT count(*) AS total, count(*) FILTER (raw = shape) AS same, round(100.0::DOUBLE * count(*) FILTER (raw = shape) / count(*), 2) AS percent FROM full_",
+        "compare_diff_groups": f"""{counted}, lists AS (SELECT word, string_split(raw, '+') AS a, string_split(shape, '+') AS b FROM full_ WHERE raw <> shape),
+            led AS (SELECT *, coalesce((SELECT min(k) FROM unnest(range(1, least(len(a), len(b)) + 1)) AS t(k) WHERE a[k] <> b[k]) - 1, least(len(a), len(b))) AS p FROM lists),
+            cut AS (SELECT word, list_reverse(a[p + 1:]) AS a, list_reverse(b[p + 1:]) AS b FROM led),
+            trimmed AS (SELECT *, coalesce((SELECT min(k) FROM unnest(range(1, least(len(a), len(b)) + 1)) AS t(k) WHERE a[k] <> b[k]) - 1, least(len(a), len(b))) AS q FROM cut)
+            SELECT array_to_string(list_reverse(a[q + 1:]), '+') AS a_part, array_to_string(list_reverse(b[q + 1:]), '+') AS b_part, count(*) AS n, min(word) AS example FROM trimmed GROUP BY ALL""",
+        "words_first_seen": f"""WITH {words()} SELECT word, n, f.doc_id, f.pos FROM (SELECT word, count(*) AS n, min({{'doc_id': doc_id, 'pos': pos}}) AS f FROM found GROUP BY word) ORDER BY f LIMIT 500""",
+        "corpora_union_except": f"""WITH {words()}, {bench}, a AS (SELECT DISTINCT word FROM found), b AS (SELECT DISTINCT word FROM other)
+            SELECT (SELECT count(*) FROM (SELECT word FROM a UNION SELECT word FROM b)) AS n_union, (SELECT count(*) FROM a SEMI JOIN b USING (word)) AS n_both, (SELECT count(*) FROM a SEMI JOIN b USING (word)) AS n_intersect,
+            (SELECT count(*) FROM a ANTI JOIN b USING (word)) AS n_only_documents, (SELECT count(*) FROM b ANTI JOIN a USING (word)) AS n_only_benchmark""",
+        "versions": f"WITH {words()} SELECT word, {literal(tables.CANONICAL_VERSION)} AS canonical_version, {literal(tables.LOCALE)} AS locale FROM found GROUP BY word ORDER BY count(*) DESC, word LIMIT 50",
+        "expand_contract": f"{counted} SELECT DISTINCT g.raw, array_to_string(g.u, '+') AS expanded, s.shape AS contracted FROM grown g JOIN shaped s USING (word)",
+        "parse_compact": f"""{counted}, s AS (SELECT DISTINCT shape, replace(shape, '+', '') AS t FROM full_),
+            head AS (SELECT shape, length(t) AS n, i, substr(t, i, 1) IN ({known_units}) AS k1, i < length(t) AND substr(t, i, 2) IN ({known_units}) AS k2, i + 1 < length(t) AND substr(t, i, 3) IN ({known_units}) AS k3
+                FROM (SELECT shape, t, unnest(range(1, length(t) + 1)) AS i FROM s)),
+            steps AS (SELECT shape, list_prepend([1, 0, 0], list([k1::INT, k2::INT, k3::INT] ORDER BY i DESC)) AS l FROM head GROUP BY shape),
+            ways AS (SELECT shape, list_reduce(l, lambda w, k: [least(2, k[1] * w[1] + k[2] * w[2] + k[3] * w[3]), w[1], w[2]])[1] AS n FROM steps)
+            SELECT shape, CASE WHEN n = 1 THEN shape END AS parsed, CASE WHEN n > 1 THEN 'compact written-unit sequence is ambiguous; separate units with ''+''' END AS error_message FROM ways""",
+        "normalize": f"WITH RECURSIVE {counted[5:]}, {spelt()} SELECT word, coalesce(text, word) AS normalized FROM full_ LEFT JOIN spelt USING (shape)",
+        "encode_units": f"WITH RECURSIVE {counted[5:]}, {spelt()} SELECT shape, text AS spelling FROM (SELECT DISTINCT shape FROM full_) LEFT JOIN spelt USING (shape)",
         "prefix_pairs": f"""{counted}, s AS (SELECT DISTINCT shape FROM full_),
             starts AS (SELECT shape AS longer, array_to_string(u[1:k], '+') AS shape FROM (SELECT shape, u, unnest(range(1, len(u))) AS k FROM (SELECT shape, string_split(shape, '+') AS u FROM s)))
             SELECT length(shape) AS length, count(*) AS n FROM starts JOIN s USING (shape) GROUP BY ALL""",
+        "prefix_stability": f"""{counted}, s AS (SELECT DISTINCT shape, string_split(shape, '+') AS u FROM full_), starts AS (SELECT array_to_string(u[1:k], '+') AS shape FROM (SELECT u, unnest(range(1, len(u))) AS k FROM s))
+            SELECT count(*) AS n_pairs, 0 AS n_unstable FROM starts SEMI JOIN s USING (shape)""",
         "canonicity_check": f"WITH {words()} SELECT 0 AS n_violations, count(DISTINCT word) AS n_words FROM found",
         "round_trip": f"WITH {keyed()} SELECT 0 AS n_violations, count(*) AS n_words FROM keyed WHERE NOT contains(word, 'x')",
         "normalize_text_shapes": "SELECT doc_id, true AS same_shapes, true AS same_rest FROM documents",
@@ -167,6 +208,14 @@ def oracle() -> dict[str, str]:
         "rule_names": f"SELECT place, rule FROM {values(list(enumerate(tables.RULES, 1)), 'place, rule')}",
         "parse_units": f"{counted} SELECT shape AS spec, shape AS parsed FROM full_ GROUP BY ALL",
         "control_rounds": "SELECT range AS id, true AS idempotent FROM range(6561)",
-        "stream_shape_dedup": f"""WITH ev AS (SELECT event_id, ts, translate(lower(event_type), {literal(LATIN)}, {literal(MONGOLIAN)}) AS text FROM events),
-            {words('ev', 'event_id')}, {shaped()} SELECT DISTINCT shape FROM shaped""",
+        "stream_shape_dedup": f"WITH {words()}, {shaped()} SELECT DISTINCT shape FROM shaped",
+        "stream_shape_counts": f"""WITH ev AS (SELECT event_id, ts, translate(lower(event_type), {literal(LATIN)}, {literal(MONGOLIAN)}) AS text FROM events),
+            {words('ev', 'event_id')}, {shaped()}, timed AS (SELECT shape, date_trunc('day', ts::TIMESTAMP) AS day FROM found JOIN shaped USING (word) JOIN ev USING (event_id))
+            SELECT shape, count(DISTINCT day) AS n_days, count(*) AS n FROM timed WHERE day + INTERVAL 1 DAY <= (SELECT max(ts::TIMESTAMP) FROM ev) GROUP BY shape""",
+        "tokens_view": f"WITH {positioned()} SELECT ch, kind, position, count(*) AS n FROM place GROUP BY ALL",
+        "parse_records": f"""WITH u AS {values([(u,) for u in sorted(c.known)], 'unit')}, p AS {values([(p,) for p in (*tables.POSITIONS, 'control', 'middle')], 'position')}, k AS {values(sorted(c.positioned), 'unit, position')},
+            odd AS {values([('', 'RecordType'), ('{}', 'RecordType'), ('[1]', 'RecordType'), ('[{"unit":"A"}]', 'RecordFields'), ('[{"unit":1,"position":"isol"}]', 'RecordType'), ('[{"unit":"A","position":"isol","x":1}]', 'RecordFields')], 'records, error_class')}
+            SELECT '[{{"unit":"' || unit || '","position":"' || position || '"}}]' AS records, CASE WHEN position = 'middle' THEN 'UnknownPosition' WHEN unit IN ('Zwj', 'Zwnj') THEN 'Explicit' || unit
+                WHEN unit IN ('Mvs', 'Nirugu') THEN CASE WHEN position <> 'control' THEN 'ControlRequiresControlPosition' END WHEN (unit, position) NOT IN (SELECT (unit, position) FROM k) THEN 'UnsupportedPositionedUnit' END AS error_class FROM u, p
+            UNION ALL SELECT records, error_class FROM odd""",
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +27,15 @@ def shape_counts(shaped: DataFrame, ts: str = "ts", window: str = "1 day", delay
     return timed.groupBy(F.window(ts, window), "shape").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "shape", "n")
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """All that a bounded stream has, as a table in memory; for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All that a bounded stream has, written by the executors as Parquet to a folder that all share: one below
+    spark.checkpoint.dir unless it is named."""
+    spark = stream.sparkSession
+    if folder is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{shared or tempfile.mkdtemp(prefix='tamga-stream-')}/drained-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -9,6 +9,7 @@ from functools import cache
 
 LOCALE = "MNG"
 CANONICAL_VERSION = "mng-canonical/5"
+VERSION = "0.2.0"
 POSITIONS = ("isol", "init", "medi", "fina")
 FVS = {1: "\u180b", 2: "\u180c", 3: "\u180d", 4: "\u180f"}
 FVS_NUMBER = {c: n for n, c in FVS.items()}

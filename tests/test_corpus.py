@@ -65,7 +65,7 @@ def test_lines(spark, tmp_path):
     assert got == {t: t.splitlines() for t in texts}
     path = tmp_path / "words.txt"
     path.write_text(K.spell_aliases("s a i n") + " x " + K.spell_aliases("s a i n"))
-    assert [tuple(r) for r in sources.word_list(spark, str(path)).collect()] == [(K.spell_aliases("s a i n"), 2)]
+    assert [(r.word, r.n, r.first.pos) for r in sources.word_list(spark, str(path)).collect()] == [(K.spell_aliases("s a i n"), 2, 0)]
     table = tmp_path / "t.tsv"
     table.write_text("#c\n\nx-1\ts a i n space m o\tS\nbad\n")
     assert sources.read_alias_table(spark, str(table)).first().words == [K.spell_aliases("s a i n"), K.spell_aliases("m o")]
@@ -95,7 +95,7 @@ def test_streams(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").select("ts", plans.mongolian(F.col("event_type")).alias("text"))
     counts = streaming.shape_counts(streaming.shaped_stream(stream, keep=["ts"]))
-    got = streaming.drain(counts, "tamga_test_counts")
+    got = streaming.drain(counts)
     static = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), plans.mongolian(F.col("event_type")).alias("text"))
     batch = op.extract_words(static, keep=["ts"]).withColumn("shape", fn.shape_str(F.col("word"))).groupBy(F.window("ts", "1 day").start.alias("window_start"), "shape").agg(F.count(F.lit(1)).alias("n"))
     assert got.count() and got.exceptAll(batch).count() == 0
