@@ -5,8 +5,9 @@ documents hold the shingle. Two sets with a Jaccard similarity of THRESHOLD shar
 n - ceil(THRESHOLD * n) + 1 of each, so documents meet at the shingles of these prefixes that another document holds.
 
 First each meeting group has one pivot, its least row, which the others are compared with; most copies are connected
-by that. The members of groups that are still apart are compared within their group, groups of the same members as
-one. Of a large group only sets of like size meet, and those in parts, two by two. Everywhere the ordered sets of one
+by that. Of groups that are still apart, those which rows tie together to few rows in all are compared as one. Others
+are compared each on its own, groups of the same members once; of a large group only sets of like size meet, and those
+in parts, two by two. Everywhere the ordered sets of one
 side (pivots, or a part) are stored in a radix trie, and a probe walks it with the overlap so far, shared by all sets below an edge, and leaves a
 subtree when the overlap and what remains on either side can't reach the least overlap that any set below needs. Rows
 that are connected already, directly or through others, aren't compared again, so no link between components is lost.
@@ -332,17 +333,26 @@ def _joined(sets: DataFrame, count: int, keep: Kept) -> DataFrame:
     apart = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *members).where("low < high")
     apart = apart.groupBy("members", "h0", "h1").agg(F.min("token").alias("token")).select("token", "members")
     met = keep(rest.join(apart, "token").select("token", "row", "n", "component", "members"))
+    first = met.groupBy("token").agg(F.min("row").alias("first"))
+    families = _spread(met.join(first, "token").select(F.col("row").alias("a"), F.col("first").alias("b")), keep).toDF("row", "family")
+    few = families.groupBy("family").agg((F.count(F.lit(1)) <= PART_ROWS).alias("few"))
+    met = keep(met.join(families.join(few, "family"), "row"))
     return near.unionByName(_far(met, sets))
 
 
 def _far(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links between components in each meeting, as (a, b), by trie joins. met: (token, row, n, component, members).
+    """The links between components in each meeting, as (a, b), by trie joins. met: (token, row, n, component, members,
+    family, few).
+
+    Few rows that meetings tie together, directly or through others, are one cell, to which each row goes once; so most
+    rows aren't copied for each meeting they are in. Else each meeting has cells of its own.
 
     Rows may link with those of their class of sizes and of the two beside it; where these are all one component, none
     is compared. A small meeting is one cell, of which each row meets each; in a large one there is a cell for each two
     parts of a class, or of neighbouring classes.
     """
-    met = met.withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int"))
+    families = met.where("few").select(F.col("family").alias("token"), *(F.lit(x).alias(c) for c, x in (("low", -1), ("step", 0), ("i", 0), ("j", 0))), "row", F.lit(False).alias("probes"), "component").distinct()
+    met = met.where("not few").withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS))).cast("int"))
     line = Window.partitionBy("token").orderBy("class")  # a row for each class of sizes
     sizes = met.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"), F.min("component").alias("least"), F.max("component").alias("most"))
     beside = lambda f, step, column: F.when(f("class").over(line) == F.col("class") + step, f(column).over(line))
@@ -366,7 +376,7 @@ def _far(met: DataFrame, sets: DataFrame) -> DataFrame:
     )
     key = ["token", "low", "step", "i", "j"]
     placed = dealt.select("token", "row", "component", F.explode(F.when(F.col("members") <= PART_ROWS, whole).otherwise(split)).alias("cell")).select("token", "cell.*", "row", "component")
-    placed = placed.join(sets.select("row", "n", "shared"), "row").repartition(*key).sortWithinPartitions(*key)
+    placed = placed.unionByName(families).join(sets.select("row", "n", "shared"), "row").repartition(*key).sortWithinPartitions(*key)
 
     def join(table: pa.Table) -> list[tuple[int, int]]:
         rows, sizes = table["row"].to_numpy(), table["n"].to_numpy().astype(np.int64)

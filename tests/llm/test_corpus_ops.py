@@ -87,7 +87,7 @@ def test_ngram_join_tells_apart_many_blocks_of_a_partition(spark, monkeypatch):
         ngram_join._row_of(1 << ngram_join.BLOCK_BITS)
 
 
-@pytest.mark.parametrize("part_rows", [2, 7])
+@pytest.mark.parametrize("part_rows", [2, 7, 512])
 def test_ngram_join_of_large_meetings(spark, monkeypatch, part_rows):
     """Many sets of several sizes share rare shingles without being alike, and some links lie between two of them."""
     from tamga.llm import ngram_join
