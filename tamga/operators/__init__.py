@@ -53,18 +53,18 @@ def normalize_texts(df: DataFrame, key: str, text: str = "text", name: str = "no
         raise ValueError("mode must be strict or lenient")
     words = extract_words(df.select(F.col(key).alias("key"), F.col(text).alias("text")), keep=["key"])
     changed = distinct_words(words).select("word", fn.normalize(F.col("word"), mode).alias("new")).where("new <> word")
-    # only words that change come back; a place holds one word
+    # only words that change come back
     back = words.join(changed, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_back"))
     joined = df.join(back.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
     old, gaps = fn.words_in(F.col(text)), F.split(F.col(text), f"[{tables.WORD_CLASS}]+", -1)
-    # pieces from the place after one changed word to the next one
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    between = lambda start, end: F.array_join(F.transform(F.slice(F.col("_pieces"), start + 1, F.greatest(end - start, F.lit(0))), lambda p: F.concat(p["gap"], p["word"])), "")
-    step = lambda acc, x: F.struct((x["pos"] + 1).alias("pos"), F.concat(acc["out"], between(acc["pos"], x["pos"]), F.get(F.col("_pieces"), x["pos"])["gap"], x["new"]).alias("out"))
     pieces = F.arrays_zip(F.slice(gaps, 1, F.size(old)).alias("gap"), old.alias("word"))
     done = joined.withColumn("_pieces", F.when(F.col("_back").isNotNull(), pieces))
-    tail = lambda acc: F.concat(acc["out"], between(acc["pos"], F.size("_pieces")), F.element_at(gaps, -1))
-    done = done.withColumn(name, F.when(F.col("_back").isNull(), F.col(text)).otherwise(F.aggregate("_back", zero, step, tail)))
+    # what lies between changed words, each changed word with the gap before it, and the rest
+    between = lambda start, end: F.array_join(F.transform(F.slice(F.col("_pieces"), start + 1, F.greatest(end - start, F.lit(0))), lambda p: F.concat(p["gap"], p["word"])), "")
+    after = lambda i: F.when(i > 0, F.get(F.col("_back"), i - 1)["pos"] + 1).otherwise(0)
+    parts = F.transform("_back", lambda x, i: F.concat(between(after(i), x["pos"]), F.get(F.col("_pieces"), x["pos"])["gap"], x["new"]))
+    tail = F.concat(between(after(F.size("_back")), F.size("_pieces")), F.element_at(gaps, -1))
+    done = done.withColumn(name, F.when(F.col("_back").isNull(), F.col(text)).otherwise(F.concat(F.array_join(parts, ""), tail)))
     return done.drop("_key", "_back", "_pieces")
 
 
@@ -114,8 +114,8 @@ def canonicity(shaped: DataFrame, normalized: str = "normalized") -> DataFrame:
 
 def _starts(shapes: DataFrame) -> DataFrame:
     """longer, shape: the starts of each shape, itself left out."""
-    units = F.split("shape", r"\+")
-    listed = F.transform(F.sequence(F.lit(1), F.size(units) - 1), lambda n: F.array_join(F.slice(units, 1, n), "+"))
+    start = lambda n: F.call_function("substring_index", F.col("shape"), F.lit("+"), n)
+    listed = F.transform(F.sequence(F.lit(1), F.size(F.split("shape", r"\+")) - 1), start)
     return shapes.where(F.contains("shape", F.lit("+"))).select(F.col("shape").alias("longer"), F.explode(listed).alias("shape"))
 
 

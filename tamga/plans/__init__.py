@@ -229,7 +229,7 @@ def normalize_text_shapes(spark, d):
     """Normalised texts have the same shapes and the same other characters."""
     done = op.normalize_texts(texts(spark, d).withColumnRenamed("text", "a"), "doc_id", "a", "b", "lenient")
     rest = lambda c: F.regexp_replace(c, f"[{tables.WORD_CLASS}]+", "_")
-    sides = done.select("doc_id", F.explode(F.array_distinct(F.arrays_zip(fn.words_in(F.col("a")).alias("a"), fn.words_in(F.col("b")).alias("b")))).alias("w")).select("doc_id", "w.a", "w.b")
+    sides = done.select("doc_id", F.explode(F.arrays_zip(fn.words_in(F.col("a")).alias("a"), fn.words_in(F.col("b")).alias("b"))).alias("w")).select("doc_id", "w.a", "w.b")
     pairs = sides.select("a", "b").distinct()
     wrong = pairs.where(~F.coalesce(fn.same_shape(F.col("a"), F.col("b")), F.lit(False))).select("a", "b")
     bad = sides.join(wrong, ["a", "b"], "left_semi").select("doc_id").distinct().withColumn("bad", F.lit(True))
