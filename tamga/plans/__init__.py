@@ -9,7 +9,7 @@ from tamga import functions as fn
 from tamga import operators as op
 from tamga import sources, streaming, tables, views
 from tamga.operators import battery
-from tamga.plans import sql
+from tamga.plans import controls, sql
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -117,6 +117,28 @@ def shape_controls(spark, d):
     return got.select("word", F.col("r.value").alias("shape"), F.col("r.error_class").alias("error_class"), F.col("r.error_index").alias("error_index"))
 
 
+def _sample(spark, words: sql.Listed) -> DataFrame:
+    """Words that are all combinations of some parts."""
+    parts = F.concat(*(F.element_at(F.array(*map(F.lit, part)), (F.floor(F.col("id") / step) % len(part) + 1).cast("int")) for part, step in words.steps()))
+    return op.spread(spark.range(words.size())).select(parts.alias("word"))
+
+
+def control_pairs(spark, d):
+    """Conditions and shape of each two letters with each control or none between them, alone and after two others."""
+    return _conditions(_sample(spark, sql.pairs()))
+
+
+def particle_words(spark, d):
+    """Conditions and shape of each particle, with what may come before and after it."""
+    return _conditions(_sample(spark, sql.particles()))
+
+
+def _conditions(words: DataFrame) -> DataFrame:
+    got = words.distinct().withColumn("t", fn.trace(F.col("word")))
+    told = F.array_join(F.transform("t.final_conditions", lambda c: F.coalesce(c, F.lit("-"))), " ")
+    return got.select("word", told.alias("conditions"), F.array_join("t.shape", "+").alias("shape"))
+
+
 def shape_groups(spark, d):
     return op.shape_groups(shaped(spark, d))
 
@@ -358,7 +380,7 @@ def parse_records(spark, d):
 
 QUERIES = (
     letter_positions, words_extract, words_distinct_topk, words_first_seen, corpora_union_except, versions, classify_chars, check_word_chars, token_positions, code_points, default_forms, rule_conditions, rule_effects,
-    shape_detailed, shape_raw, shape_str, shape_controls, shape_groups, shape_groups_topk, representatives, dedup_by_shape, docs_by_shape, same_shape_join, shape_semi, shape_anti,
+    shape_detailed, shape_raw, shape_str, shape_controls, control_pairs, particle_words, shape_groups, shape_groups_topk, representatives, dedup_by_shape, docs_by_shape, same_shape_join, shape_semi, shape_anti,
     compare_raw_and_shape, compare_diff_groups, prefix_pairs, prefix_stability, normalize, normalize_controls, canonicity_check, round_trip, normalize_text_shapes, encode_units, encode_positioned,
     parse_units, parse_compact, control_rounds, expand_contract, batch_lines, inventories, variants, reverse_table, battery_table, random_round_trip, rule_names, stream_shape_dedup, stream_shape_counts, tokens_view, parse_records,
 )
@@ -369,4 +391,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle()
+    return {**sql.oracle(), **controls.oracle()}

@@ -1,12 +1,14 @@
 """The registered queries in the SQL of DuckDB, as an independent second formulation.
 
 Words made of letters only are shaped relationally: a row for each token, neighbours by windows, conditions by CASE in
-three stages (rules 1 to 13, 14, 15), forms by joins with the catalogue. Words with controls are checked as far as
-tokens and positions, and by invariants.
+three stages (rules 1 to 13, 14, 15), forms by joins with the catalogue. Words with controls are in `controls`.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from tamga import tables
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +22,37 @@ def literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+@dataclass(frozen=True)
+class Listed:
+    """All combinations of some parts of words, by number."""
+
+    parts: tuple[tuple[str, ...], ...]
+
+    def size(self) -> int:
+        return math.prod(map(len, self.parts))
+
+    def steps(self) -> list[tuple[tuple[str, ...], int]]:
+        """Each part with how many numbers it stays the same for."""
+        return [(part, math.prod(map(len, self.parts[:k]))) for k, part in enumerate(self.parts)]
+
+    def sql(self) -> str:
+        one = lambda part, step: f"[{', '.join(map(literal, part))}][range // {step} % {len(part)} + 1]"
+        return f"(SELECT DISTINCT {' || '.join(one(*s) for s in self.steps())} AS word FROM range({self.size()}))"
+
+
+def pairs() -> Listed:
+    c = tables.catalogue()
+    letters, controls = tuple(sorted(c.alias)), ("", *tables.FVS.values(), tables.MVS, tables.NNBSP, tables.NIRUGU, tables.ZWJ, tables.ZWNJ)
+    return Listed((("", c.char["b"], c.char["i"] + c.char["s"]), letters, controls, letters))
+
+
+def particles() -> Listed:
+    c = tables.catalogue()
+    spelt = tuple("".join(tables.MVS if a == "mvs" else c.char[a] for a in names) for names in c.particles)
+    around = (tables.NIRUGU, tables.ZWNJ, tables.FVS[1], c.char["a"], c.char["n"], tables.MVS + c.char["e"])
+    return Listed((("", *around), spelt, ("", *around)))
+
+
 def values(rows: list[tuple], columns: str) -> str:
     one = lambda v: "NULL" if v is None else literal(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS v({columns}))"
