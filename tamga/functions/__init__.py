@@ -76,8 +76,12 @@ def _mapped(f: Callable, kind: str | DataType, mode: str) -> Callable[..., Colum
 
     def call(*columns: Column | str) -> Column:
         if mode == "permissive":
-            return F.pandas_udf(one_guarded if len(columns) == 1 else two_guarded, guarded)(*columns)
-        return F.pandas_udf((one_row if struct else one) if len(columns) == 1 else two, name)(*columns)
+            made = F.pandas_udf(one_guarded if len(columns) == 1 else two_guarded, guarded)
+        else:
+            made = F.pandas_udf((one_row if struct else one) if len(columns) == 1 else two, name)
+        # said to vary, for else filters on a result (also those Spark infers for joins) are copied below the
+        # aggregation to distinct words, where the kernel would run for each occurrence
+        return made.asNondeterministic()(*columns)
 
     return call
 
