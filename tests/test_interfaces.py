@@ -11,6 +11,7 @@ from tamga import kernel as K
 from tamga import operators as op
 from tamga import report, sources, tables, views
 from tamga.api import Shaper
+from tamga.plans import controls
 
 WORDS = ["s a i n", "m o ng g o l", "t a l mvs a", "a fvs1", "zwj b zwnj a", "e g e", "n a r a n nirugu"]
 
@@ -127,3 +128,22 @@ def test_prefix_stability_tells_unstable_pairs(spark):
     spelt = spark.createDataFrame([("A", a), ("A+B", a + e), ("A+B+C", e + a + e), ("B", e)], "shape string, normalized string")
     got = {(r.shape, r.longer): r.stable for r in op.prefix_stability(spelt).collect()}
     assert got == {("A", "A+B"): True, ("A", "A+B+C"): True, ("A+B", "A+B+C"): False}
+
+
+def test_kernel_runs_above_the_distinct_words(spark):
+    """No filter on a result is copied below the aggregation."""
+    words = spark.range(10).select(F.lit("\u1820").alias("word"))
+    shaped = op.distinct_words(words).withColumn("shape", fn.shape_str(F.col("word")))
+    plan = op.shape_join(shaped, shaped)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
+def test_sql_of_control_words():
+    """The SQL for words with controls against the kernel, on all particles with their surroundings."""
+    import duckdb
+
+    rows = duckdb.connect().execute(controls.oracle()["particle_words"]).df()
+    assert len(rows) > 2000
+    for word, told, shape in zip(rows["word"], rows["conditions"], rows["shape"], strict=True):
+        assert "+".join(K.shape(word)) == shape
+        assert " ".join(c or "-" for c in K.conditions(K.Word(word))) == told
