@@ -1,7 +1,8 @@
 """Column functions on words, texts and written units.
 
 What Spark can express is native: character classes, tokens, positions, code points. The rest are Arrow-batched
-functions over the word kernel; use `operators.with_shape` and its like to run them on distinct words only.
+functions over the word kernel; use `operators.with_shape` and its like to run them on distinct words only. In an
+aggregate function or a join's condition use a column computed before.
 
 Every fallible function has a mode. `strict` fails the query with the message of the error; `permissive` gives a
 struct value, error_class, error_message, error_index; `lenient`, for normalising only, gives the word itself where
