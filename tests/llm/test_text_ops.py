@@ -167,6 +167,51 @@ def test_chat_examples(spark):
     assert got == sorted([(one, "b\\<c"), (one + "<s>[assistant] d [/assistant]</s>", "d")])
 
 
+def test_chat_written_out(spark, monkeypatch):
+    """Every example with its whole context, over several parts of a conversation, against plain loops."""
+    from tamga.llm import chat
+
+    monkeypatch.setattr(chat, "CHUNK", 3)
+    monkeypatch.setattr(chat, "PARTS", 2)
+    roles = {1: "ua", 2: "uuuu", 3: "aaaaaaa", 4: "uauauauauauauu", 5: "a", 6: "uuuuuuuuuua", None: "auuauuuu"}
+    names = {"u": "user", "a": "assistant"}
+    rows = [(c, k, names[r], f"{c} [/assistant]</s> {k}" if k % 3 else "") for c, all_ in roles.items() for k, r in enumerate(all_)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    escaped = lambda t: re.sub(r"([\\<\[\]])", r"\\\1", t)
+    want, whole = set(), {}
+    for c, k, role, text in rows:
+        before = whole.get(c, "")
+        whole[c] = f"{before}<s>[{role}] {escaped(text)} [/{role}]</s>"
+        if role == "assistant":
+            start = len(before) + len("<s>[assistant] ")
+            want.add((c, k, whole[c], start, start + len(escaped(text))))
+    rest = {(c, len(r) - 1, whole[c], None, None) for c, r in roles.items() if r[-1] == "u"}
+    segments, examples = chat.format_chat(df)
+    got = [tuple(r) for r in chat.expand(segments, examples).collect()]
+    assert len(got) == len(want | rest) and set(got) == want | rest
+    assert {tuple(r) for r in chat.materialize(segments, examples).collect()} == want
+    for r in chat.read_back(segments, examples).collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert r.n_turns == len(own) and r.turns == "".join(f"{role}\n{t}\n" for _, _, role, t in own)
+        assert r.loss == "".join(t for _, _, role, t in own if role == "assistant")
+        assert r.formatted_chars == sum(len(x[2]) for x in want if x[0] == r.conv_id)
+
+
+def test_chat_is_read_from_the_examples(spark):
+    """Losses and contexts come from the written-out texts: an example that lacks a segment is seen."""
+    from pyspark.sql import functions as F
+
+    from tamga.llm.chat import format_chat, read_back
+
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d")], "conv_id long, turn long, role string, text string")
+    segments, examples = format_chat(df)
+    assert read_back(segments, examples).first().loss == "bd"
+    shorter = lambda place: examples.withColumn("n_segments", F.col("n_segments") - (F.col("place") == place).cast("int"))
+    for place in (1, 3):
+        with pytest.raises(Exception, match="a context differs"):
+            read_back(segments, shorter(place)).collect()
+
+
 def test_url_filter(spark, sf, tmp_path):
     urls = [None, "", "no scheme", "HTTPS://A.Example.COM", "x://net/", "x://sub.net", "x://sub.net/a?b#c", "x://knet/a", "ftp://example.net/en/1", "http://a.example.net/de/1", "http://EXAMPLE.com/de/9#x", "http://b.org/fr/3?q", "http://b.org/frx", "a://b://c/d", "http://h/a/b/c/d/e/f/g/h/i"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(3, urls[3]), (None, "http://n/1")], "page_id long, url string")
