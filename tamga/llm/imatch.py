@@ -39,8 +39,8 @@ _EMPTY = "cast(array() as array<bigint>)"
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct words of a text."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"), lambda w: w != "")
-    return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+"))
+    return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))
 
 
 def lexicon(docs: DataFrame, text: str) -> DataFrame:
@@ -60,17 +60,34 @@ def _kept(all_terms: str, slots: str) -> Column:
     return F.filter(all_terms, lambda t: F.array_contains(F.element_at(F.col(slots), (F.pmod(t, F.lit(SLOTS)) + 1).cast("int")), t))
 
 
-def _parts(inside: str, every: str) -> tuple[list[Column], Column]:
-    """Columns of the terms as each seed sees them, and the parts made from these: 0 for a subset without terms."""
+def _with_subsets(df: DataFrame, columns: list[str], inside: str, every: str) -> DataFrame:
+    """columns, and the sorted terms of each subset as _s<seed>_<level>.
+
+    A level's subset lies in the one before it, so only terms of that are looked at again, and only those of the first
+    are sorted, as longs: array_sort compares by an expression that is interpreted for each two terms.
+    """
     kept = lambda seed: F.when(F.size(inside) >= LEAST + LEAST_STEP * seed, F.col(inside)).otherwise(F.col(every))
-    seen = [F.array_sort(F.transform(kept(seed), _seeded(seed))).alias(f"_s{seed}") for seed in range(SEEDS)]
-    parts = []
+    made = []
     for level in range(LEVELS):
         mask = (1 << (1 + 2 * level)) - 1
-        for seed in range(SEEDS):
-            subset = F.filter(f"_s{seed}", _masked(mask))
-            parts.append(F.when(F.size(subset) == 0, F.lit(0)).otherwise(F.xxhash64(subset).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(1)).cast("int")))
-    return seen, F.array(*parts)
+        if level:
+            own = [F.filter(f"_s{seed}_{level - 1}", _masked(mask)) for seed in range(SEEDS)]
+        else:
+            own = [F.sort_array(F.filter(F.transform(kept(seed), _seeded(seed)), _masked(mask))) for seed in range(SEEDS)]
+        df = df.select(*columns, *made, *(c.alias(f"_s{seed}_{level}") for seed, c in enumerate(own)))
+        made += [f"_s{seed}_{level}" for seed in range(SEEDS)]
+    return df
+
+
+def _parts() -> Column:
+    """The parts made from the subsets: 0 for one without terms."""
+    subsets = [F.col(f"_s{seed}_{level}") for level in range(LEVELS) for seed in range(SEEDS)]
+    return F.array(*(F.when(F.size(s) == 0, F.lit(0)).otherwise(_part(s)) for s in subsets))
+
+
+def _part(hashes: Column) -> Column:
+    """One part of a fingerprint, never 0."""
+    return F.xxhash64(hashes).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(1)).cast("int")
 
 
 def _seeded(seed: int):
@@ -84,12 +101,13 @@ def _masked(mask: int):
 def with_parts(df: DataFrame, text: Column, slots: Column, name: str) -> DataFrame:
     """df with a column of fingerprint parts."""
     columns = df.columns
-    # the lexicon is a column for the analyser only; the two projections become one
-    df = df.select(*columns, terms(text).alias("_all"), slots.alias("_slots"))
-    df = df.select(*columns, "_all", _kept("_all", "_slots").alias("_in"))
-    seen, parts = _parts("_in", "_all")
-    df = df.select(*columns, F.xxhash64(F.array_sort("_all")).bitwiseAND(F.lit(0x7FFFFFFF)).bitwiseOR(F.lit(1)).cast("int").alias("_whole"), *seen)
-    df = df.select(*columns, "_whole", parts.alias(name))
+    df = df.select(*columns, terms(text).alias("_all"))
+    # the lexicon is a column for the analyser only, which would be copied for each row: this projection and the next
+    # become one, and as it reads _all twice it isn't made one with the one before
+    df = df.select(*columns, "_all", _part(F.sort_array("_all")).alias("_whole"), slots.alias("_slots"))
+    df = df.select(*columns, "_all", "_whole", _kept("_all", "_slots").alias("_in"))
+    df = _with_subsets(df, [*columns, "_whole"], "_in", "_all")
+    df = df.select(*columns, "_whole", _parts().alias(name))
     return df.select(*columns, F.when(F.exists(name, lambda p: p != 0), F.col(name)).otherwise(F.array_repeat("_whole", LEVELS * SEEDS)).alias(name))
 
 

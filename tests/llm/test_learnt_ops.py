@@ -65,6 +65,24 @@ def test_fingerprint_with_few_lexicon_terms(spark):
     assert all(got[f"across{k}"] >= 0.3 for k in range(1, 14)), got
 
 
+def test_fingerprint_plan_sorts_longs_and_copies_no_lexicon(spark):
+    from pyspark.sql import functions as F
+
+    from tamga.llm import imatch
+
+    docs = spark.range(9).select("id", F.concat(F.lit("a b c "), F.col("id")).alias("text"))
+    shown = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = imatch.with_parts(docs, F.col("text"), imatch.lexicon(docs, "text").scalar(), "parts")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", shown)
+    # array_sort compares by an interpreted expression; a column of the lexicon would be written anew for each row
+    assert "array_sort(" not in plan and "AS _slots" not in plan
+    # every term is hashed once a seed; further levels look at the level before only, each once
+    assert plan.count("filter(transform(") == imatch.SEEDS and plan.count("filter(_s") == imatch.SEEDS * (imatch.LEVELS - 1)
+
+
 def test_language_id(spark, sf, tmp_path):
     rows = Q.op5_language_id(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
